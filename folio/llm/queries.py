@@ -11,6 +11,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm.ann import nearest
+from folio.llm.decontaminate import leak_pairs
+from folio.llm.language import identify_languages
+from folio.llm.pieces import piece_digest
 from folio.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +28,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_language_id": op2_language_id,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op9_piece_encoding": op9_piece_encoding,
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
