@@ -15,7 +15,9 @@ from folio.llm.ann import nearest
 from folio.llm.decontaminate import leak_pairs
 from folio.llm.language import identify_languages
 from folio.llm.pieces import piece_digest
+from folio.llm.pii import pii_report, report_sql
 from folio.llm.token_counts import token_counts
+from folio.llm.url_filter import FILTER_SQL, dated_pages, filter_captures, sample_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,11 +34,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_captures(dated_pages(pages), sample_list(pages))
+
+
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,11 +60,16 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
+        "op5_personal_data": op5_personal_data,
         "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op8_url_filter": op8_url_filter,
         "op9_piece_encoding": op9_piece_encoding,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_personal_data": report_sql(),
+        "op8_url_filter": FILTER_SQL,
+    }
