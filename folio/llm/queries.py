@@ -16,6 +16,7 @@ from folio.llm.decontaminate import leak_pairs
 from folio.llm.language import identify_languages
 from folio.llm.pieces import piece_digest
 from folio.llm.pii import pii_report, report_sql
+from folio.llm.sharding import shard_report
 from folio.llm.token_counts import token_counts
 from folio.llm.url_filter import FILTER_SQL, dated_pages, filter_captures, sample_list
 
@@ -38,6 +39,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
         "op5_personal_data": op5_personal_data,
+        "op6_sharding": op6_sharding,
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_url_filter": op8_url_filter,
         "op9_piece_encoding": op9_piece_encoding,
