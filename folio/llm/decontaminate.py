@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.llm import shingles
 from folio.llm.batches import append_columns, free_name
 
-BLANK = bytes(32 if b < 32 or chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
-
 
 def normalised(text: str) -> str:
     """Normalised bytes, one character each."""
-    return b" ".join(text.lower().encode("utf-8", "replace").translate(BLANK).split()).decode("latin-1")
+    return shingles.normalised(text).decode("latin-1")
 
 
 def edit_search(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folio.llm.ann import nearest
 from folio.llm.decontaminate import leak_pairs
 from folio.llm.language import identify_languages
+from folio.llm.near_dup import near_duplicates
 from folio.llm.pieces import piece_digest
 from folio.llm.pii import pii_report, report_sql
 from folio.llm.sharding import shard_report
@@ -35,6 +36,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_personal_data": op5_personal_data,
         "op6_sharding": op6_sharding,
         "op7_nearest_neighbours": op7_nearest_neighbours,

@@ -63,3 +63,10 @@ class Files:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
+
+
+def saved(df, name: str):
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
