@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.ann import nearest
 from folio.llm.decontaminate import leak_pairs
+from folio.llm.exact_repeats import exact_repeats
 from folio.llm.language import identify_languages
 from folio.llm.near_dup import near_duplicates
 from folio.llm.pieces import piece_digest
@@ -36,6 +37,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
+        "op3_exact_repeats": op3_exact_repeats,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_personal_data": op5_personal_data,
         "op6_sharding": op6_sharding,

@@ -70,3 +70,11 @@ def saved(df, name: str):
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished stages now, not at some later collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
