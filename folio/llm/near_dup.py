@@ -134,5 +134,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).filter("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = saved(near_duplicates(docs, id_col, text_col, threshold).filter("not kept").select(id_col).distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
