@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.operators import layout
+from folio.operators import layout, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (layout,)
+MODULES = (layout, reports)
 
 
 def queries() -> dict[str, Query]:
