@@ -37,7 +37,10 @@ THRESHOLD = 0.8
 #: At similarity 0.8 a pair shares none of the bands with probability 3e-6.
 BANDS, ROWS = 32, 5
 #: Two bits of every register, in five numbers.  At similarity 0.8 the sketches differ in 32 +- 6.5 bits.
-SKETCH_WORDS, SKETCH_GAP = 5, 72
+SKETCH_WORDS, SKETCH_GAP = 5, 61
+#: Rounds of leaders before groups are compared in blocks of so many documents and bytes at most, so many shingles at once.
+ROUNDS = 2
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 2_000_000, 8192
 SLICE_CHARS = 1_000_000
 #: So many ids are broadcast at most (16 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
@@ -79,13 +82,17 @@ def alike(a: str, b: str) -> Column:
     return sum(words, F.lit(0)) <= SKETCH_GAP
 
 
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the ids."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    return saved(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidates")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts have at least the threshold of weighted Jaccard."""
     kind = docs.schema[id_col].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    texts = saved(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidates")
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), id_col, text_col)
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -107,25 +114,124 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thre
     return saved(met.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}").distinct(), "edges")
 
 
+def _mixed(shared: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The buckets' members with their components, of buckets that hold several components."""
+    if found is None:
+        return shared.withColumn("component", F.col("rep"))
+    members = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    return saved(members.join(mixed, "band", "left_semi"), "mixed")
+
+
+def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each bucket's leader of this turn with the members of other components."""
+    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    leaders = members.groupBy("band").agg(F.min(F.struct(order.alias("order"), "rep", "sketch", "component")).alias("l"))
+    joined = members.join(leaders, "band").filter(F.col("component") != F.col("l.component"))
+    joined = joined.select("rep", "sketch", F.col("l.rep").alias("leader"), F.col("l.sketch").alias("leader_sketch")).filter(alike("sketch", "leader_sketch"))
+    return joined.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between small numbers."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = top(x), top(y)
+        if i != j:
+            parent[j] = i
+            out.append((x, y))
+    return out
+
+
+def block_links(texts: list[str], left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (a spanning forest) between the texts numbered in left and those in right."""
+    docs, hashes, sizes = [], [], np.zeros(len(texts), np.int64)
+    for lo, hi in text_slices(texts, SLICE_CHARS):
+        d, h, n = multisets(*shingles([normalised(t) for t in texts[lo:hi]]))
+        sizes[lo:hi] = np.bincount(d, n, hi - lo).astype(np.int64)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # the times of a shingle are items of their own
+        docs.append(np.repeat(d, n) + lo)
+        hashes.append(mix(np.repeat(h, n) + step.astype(np.uint64)))
+    doc, item = np.concatenate(docs), np.concatenate(hashes)
+    order = np.argsort(item)
+    doc, item = doc[order], item[order]
+    new = np.concatenate([[True], item[1:] != item[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    doc, column = doc[shared], column[shared]
+    column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]])) if len(column) else column
+    row_of = np.full(len(texts), -1), np.full(len(texts), -1)
+    row_of[0][left], row_of[1][right] = np.arange(len(left)), np.arange(len(right))
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    bounds = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + COLUMNS + 1, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        width = int(column[hi - 1]) - k * COLUMNS + 1
+        sides = []
+        for rows, n in zip(row_of, (len(left), len(right)), strict=True):
+            own = rows[doc[lo:hi]]
+            m = np.zeros((n, width), np.float32)
+            m[own[own >= 0], (column[lo:hi] - k * COLUMNS)[own >= 0]] = 1
+            sides.append(m)
+        overlap += sides[0] @ sides[1].T
+    i, j = np.nonzero(overlap >= threshold * (sizes[left][:, None] + sizes[right][None, :] - overlap) - 1e-3)
+    both = overlap[i, j].astype(np.float64)
+    a, b = left[i], right[j]
+    ok = (a != b) & (both / np.maximum(sizes[a] + sizes[b] - both, 1) >= threshold)
+    return forest(a[ok], b[ok])
+
+
+def _group_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Links (a, b) that connect what is linked within the groups of the members' buckets."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    lows = members.groupBy("band").agg(F.min("rep").alias("a"))
+    groups = connected_components(members.select("band", F.col("rep").alias("b")).join(lows, "band").select("a", "b"))
+    texts = _texts(docs, groups.select(F.col("node").alias("id")), id_col, text_col)
+    bytes_ = texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = groups.join(bytes_, groups["node"] == bytes_["id"], "left").groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    dealt = groups.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = saved(dealt.select(F.col("component").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("id")), "blocks")
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        left = np.nonzero((rows["block"] == rows["i"]).to_numpy())[0]
+        right = np.nonzero((rows["block"] == rows["j"]).to_numpy())[0]
+        ids = rows["id"].to_numpy()
+        found = block_links(rows["text"].tolist(), left, right, threshold)
+        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]})
+
+    return saved(dealt.join(texts, "id").groupBy("g", "i", "j").applyInPandas(link, f"a {kind}, b {kind}"), "edges")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the smallest id of its near duplicates) and kept (whether it is that document)."""
     sig = saved(signed(docs, id_col, text_col), "signatures")
     reps = saved(sig.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = reps.select("rep", "sketch", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min(F.struct("rep", "sketch")).alias("first"), F.max("rep").alias("last")).filter("first.rep < last")
-    shared = saved(banded.join(buckets.select("band", F.col("first.rep").alias("leader"), F.col("first.sketch").alias("leader_sketch")), "band"), "buckets")
-    stars = saved(shared.filter((F.col("leader") < F.col("rep")) & alike("sketch", "leader_sketch")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    edges = verified(stars, docs, id_col, text_col, threshold)
-    found = connected_components(edges)
-    members = shared.select("band", "rep", "sketch").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    members = members.join(mixed, "band", "left_semi")
-    x = members.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    y = members.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    apart = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("sa", "sb")).select("a", "b").distinct()
-    apart = saved(apart.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not apart.isEmpty():
-        found = connected_components(edges.unionByName(verified(apart, docs, id_col, text_col, threshold)))
+    several = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("band")
+    shared = saved(banded.join(several, "band"), "buckets")
+    edges = met = found = None
+    for turn in range(ROUNDS):
+        pairs = _leader_pairs(_mixed(shared, found), turn)
+        pairs = saved(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        new = verified(pairs, docs, id_col, text_col, threshold)
+        edges = new if edges is None else edges.unionByName(new)
+        met = pairs if met is None else met.unionByName(pairs)
+        found = connected_components(edges)
+    members = _mixed(shared, found)
+    if edges is not None and not members.isEmpty():
+        found = connected_components(edges.unionByName(_group_links(members, docs, id_col, text_col, threshold)))
+    if found is None:
+        found = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     classes = reps.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     by_id = sig.select("id", "key").join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     nameless = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"))
