@@ -104,7 +104,7 @@ def relax(tables: MergeTables, starts: np.ndarray, ends: np.ndarray, tokens: np.
     last = np.full(n_nodes, UNREACHED, np.int32)
     count = np.zeros(n_nodes, np.int32)
     last[sources] = START
-    order = np.argsort(level, kind="stable")
+    order = np.argsort(level.astype(np.uint16) if len(level) and level.max() < 1 << 16 else level, kind="stable")
     starts, ends, tokens = starts[order], ends[order], tokens[order]
     bounds = np.concatenate([[0], np.cumsum(np.bincount(level))]) if len(level) else np.zeros(1, np.int64)
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):

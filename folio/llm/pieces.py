@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.llm.batches import text_slices
 from folio.llm.merges import LONG_WORD, PAIR_BITS, IntTable, MergeTables, relax, relax_one
 from folio.llm.token_counts import slices
 
@@ -203,23 +204,25 @@ class Encoder:
         size = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(size + 1) - 1
         starts = ends - size
-        order = suffix_array(text[: int(ends[-1]) + 1], width)
+        order = suffix_array(text[: int(ends[-1]) + 1], width).astype(np.int32)
         lo, hi = occurrence_ranges(text, order, m.codes, m.lengths)
         n = hi - lo
-        row = np.repeat(np.arange(len(n)), n)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         at = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        length, token = m.lengths[row], m.ids[row]
+        length, token = m.lengths.astype(np.int32)[row], m.ids[row]
+        del order, row
         covered = np.zeros(len(text), bool)
         covered[at[length == 1]] = True
         covered[ends] = True
-        bare = np.nonzero(~covered[: int(ends[-1]) + 1])[0]
-        at = np.concatenate([at, bare])
-        length = np.concatenate([length, np.ones(len(bare), np.int64)])
-        token = np.concatenate([token, np.full(len(bare), m.other, np.int32)])
-        unit = np.repeat(np.arange(len(size)), size + 1)[at]
-        level = at + length - starts[unit]
+        bare = np.nonzero(~covered[: int(ends[-1]) + 1])[0].astype(np.int32)
+        if len(bare):
+            at = np.concatenate([at, bare])
+            length = np.concatenate([length, np.ones(len(bare), np.int32)])
+            token = np.concatenate([token, np.full(len(bare), m.other, np.int32)])
+        unit = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)[at]
+        level = at + length - starts.astype(np.int32)[unit]
         long = size > LONG_WORD
-        keep = ~long[unit]
+        keep = ~long[unit] if long.any() else slice(None)
         last, count = relax(m.tables, at[keep], (at + length)[keep], token[keep], level[keep], int(ends[-1]) + 1, starts)
         memo: dict[tuple[int, int], bool] = {}
         for u in np.nonzero(long)[0]:
@@ -266,22 +269,31 @@ class Decoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
-    """All columns of docs and the piece ids of the text; no shuffle."""
+def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "piece_ids", check_col: str | None = None) -> DataFrame:
+    """All columns of docs and the piece ids of the text; no shuffle.
+
+    With check_col also whether decoding the ids gives the text back (null for null texts).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(compile_pieces(path))
-    rest = [c for c in docs.columns if c != out_col]
+    rest = [c for c in docs.columns if c not in (out_col, check_col)]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    if check_col:
+        schema = schema.add(check_col, T.BooleanType())
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            ids = [x for some in slices(texts, SLICE_CHARS) for x in encoder.encode(some)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=pa.array([t is None for t in texts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], names=[*rest, out_col])
+            texts = batch.column(text_col)
+            for lo, hi in text_slices(texts.to_pylist(), SLICE_CHARS):
+                some = texts.slice(lo, hi - lo).to_pylist()
+                ids = encoder.encode([t or "" for t in some])
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=pa.array([t is None for t in some], pa.bool_()))]
+                if check_col:
+                    made.append(pa.array([None if t is None else decoder.decode(x) == t for t, x in zip(some, ids, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in rest), *made], names=schema.names)
 
     return docs.select(*rest).mapInArrow(run, schema)
 
@@ -297,8 +309,10 @@ def decode_pieces(docs: DataFrame, path: str, ids_col: str = "piece_ids", out_co
 
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts = [None if x is None else decoder.decode(np.array(x, np.int32).tobytes()) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, out_col])
+            column = batch.column(ids_col)
+            values, bounds, gone = column.values.to_numpy(zero_copy_only=False).astype(np.int32), column.offsets.to_numpy(), column.is_null().to_pylist()
+            texts = [None if no else decoder.decode(values[a:b].tobytes()) for a, b, no in zip(bounds[:-1], bounds[1:], gone, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=schema.names)
 
     return docs.select(*rest).mapInArrow(run, schema)
 
