@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from folio.llm.decontaminate import without_leaks
 from folio.llm.language import without_unknown
 from folio.llm.near_dup import without_near_duplicates
-from folio.llm.pieces import decode_pieces, encode_pieces
+from folio.llm.pieces import encode_pieces
 from folio.llm.pii import redact
 from folio.llm.storage import saved
 
@@ -47,9 +47,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(docs.select("doc_id", "lang", "source", "text"), path)
-    decoded = decode_pieces(encoded, path)
-    return decoded.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = encode_pieces(docs.select("doc_id", "lang", "source", "text"), path, check_col="round_trip")
+    return encoded.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES = [("language", language), ("near_dup", near_dup), ("decontaminate", decontaminate), ("pii", pii), ("pieces", pieces)]
