@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.operators import layout, reports
+from folio.operators import kernels, layout, masks, raster, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (layout, reports)
+MODULES = (layout, raster, masks, reports, kernels)
 
 
 def queries() -> dict[str, Query]:
