@@ -72,7 +72,7 @@ def mod97(iban: Column) -> Column:
 
 CHECKS: dict[str, Callable[[Column], Column]] = {
     "email": lambda m: F.lit(True),
-    "ip": lambda m: ~F.exists(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) > 3) | (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") > 255)),
+    "ip": lambda m: ~F.exists(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) > 3) | (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") > 255)),
     "card": lambda m: F.when(F.length(digits(m)).between(14, 19), luhn(digits(m))).otherwise(False),
     "phone": lambda m: F.length(digits(m)).between(10, 15),
     "iban": lambda m: mod97(m) == 1,
@@ -97,7 +97,7 @@ def located(text: Column, found: Column, pattern: str) -> Column:
 
 
 def with_spans(docs: DataFrame, out_col: str = "pii", text_col: str = "text") -> DataFrame:
-    """docs and an array of (start, end, order, kind, score) sorted by start, then kind."""
+    """docs and an array of (start, order, end, kind, score) sorted by start, then kind."""
     names: dict[str, str] = {}
     text = free_name("pii_text", docs.columns)
     out = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -115,8 +115,8 @@ def with_spans(docs: DataFrame, out_col: str = "pii", text_col: str = "text") ->
             return F.round(F.least(F.lit(1.0), n), 2)
 
         kept = F.filter(located(t, F.col(names[kind]), PATTERNS[kind]), lambda s: CHECKS[kind](s["match"]))
-        scored = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), score(s).alias("score")))
-        return F.when(F.size(names[kind]) > 0, scored).otherwise(F.array().cast("array<struct<start:int,end:int,order:int,kind:string,score:double>>"))
+        scored = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(s).alias("score")))
+        return F.when(F.size(names[kind]) > 0, scored).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>"))
 
     base, added = free_name("pii_base", out.columns), free_name("pii_added", out.columns)
     out = out.withColumn(base, F.concat(*map(spans, BASE))).withColumn(added, F.concat(*map(spans, ADDED)))
