@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of an Arrow batch on its way to Python; texts differ too much in length to count rows.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES, in the executors' memory and in their Python workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidied(work: Callable) -> Callable:
+    """A task function that gives freed memory back to the system when it ends, for its worker process stays."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def free_name(base: str, taken: Iterable[str]) -> str:
     """base, or base with underscores behind it, that is not among the taken names (case aside)."""
     taken = {t.lower() for t in taken}
@@ -38,8 +70,10 @@ def append_columns(docs: DataFrame, text_col: str, fields: list[T.StructField],
     characters at a time.  A column of docs with a field's name is replaced.
     """
     new = {f.name.lower() for f in fields}
+    bound_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c.lower() not in new]
-    text = free_name("text_in", [*docs.columns, *new])
+    own = text_col in rest and isinstance(docs.schema[text_col].dataType, T.StringType)
+    text = text_col if own else free_name("text_in", [*docs.columns, *new])
     schema = T.StructType([*(docs.schema[c] for c in rest), *fields])
 
     def run(batches: Iterator) -> Iterator:
@@ -54,4 +88,5 @@ def append_columns(docs: DataFrame, text_col: str, fields: list[T.StructField],
             made = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, *(f.name for f in fields)])
 
-    return docs.select(*rest, F.col(text_col).cast("string").alias(text)).mapInArrow(run, schema)
+    sent = docs.select(*rest) if own else docs.select(*rest, F.col(text_col).cast("string").alias(text))
+    return sent.mapInArrow(tidied(run), schema)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.batches import text_slices
+from folio.llm.batches import bound_batches, text_slices, tidied
 from folio.llm.bwt_merge import repeats
 from folio.llm.runs import WINDOW, anchored_runs
 from folio.llm.storage import release, saved
@@ -272,14 +272,15 @@ def removed_spans(size: int, los: list[int], his: list[int], window: int = WINDO
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lo, hi): ranges of starts of windows that also start earlier."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    runs = texts.filter(F.octet_length("text") >= WINDOW).mapInArrow(_find_runs, "done boolean, fp long, digest long, doc long, span long")
-    judged = saved(runs.repartition("fp").sortWithinPartitions("fp").mapInArrow(_compare_runs, "doc long, span long, check boolean"), "runs")
+    runs = texts.filter(F.octet_length("text") >= WINDOW).mapInArrow(tidied(_find_runs), "done boolean, fp long, digest long, doc long, span long")
+    judged = saved(runs.repartition("fp").sortWithinPartitions("fp").mapInArrow(tidied(_compare_runs), "doc long, span long, check boolean"), "runs")
     release(spark)
     asked = judged.filter("check").groupBy("doc").agg(F.collect_set("span").alias("spans"))
     parts = texts.withColumnRenamed("id", "doc").join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "spans")
-    blocks = parts.mapInArrow(_cut_blocks, "key long, doc long, lo int, shift int, bytes binary")
-    merged = saved(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_merge_blocks, "doc long, lo long, hi long"), "windows")
+    blocks = parts.mapInArrow(tidied(_cut_blocks), "key long, doc long, lo int, shift int, bytes binary")
+    merged = saved(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(_merge_blocks), "doc long, lo long, hi long"), "windows")
     release(spark)
     lo = F.shiftrightunsigned("span", 16)
     whole = judged.filter("not check").select("doc", lo.alias("lo"), (lo + F.shiftrightunsigned("span", 8).bitwiseAND(F.lit(255))).alias("hi"))
@@ -293,4 +294,4 @@ def exact_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = rows.join(found.hint("shuffle_hash"), F.col("id").cast("long") == F.col("own"), "left").select("id", "text", "los", "his")
-    return joined.mapInArrow(_strip, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidied(_strip), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.batches import append_columns, free_name
+from folio.llm.batches import append_columns, bound_batches, free_name, text_slices, tidied
 
 DIM = 1024
 GRAM = 3
@@ -34,6 +34,7 @@ GRAM = 3
 LETTER_BITS = 10
 LETTERS = 1 << LETTER_BITS
 UNKNOWN = "und"
+SLICE_CHARS = 1_000_000
 
 
 @cache
@@ -147,6 +148,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     Sums are combined within partitions first; what reaches the driver is one
     vector of DIM numbers for each distinct language.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
 
     def run(batches):
@@ -154,14 +156,16 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
         bundler, sums = Bundler(), {}
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                langs = batch["lang"].to_numpy()[lo : lo + 1000]
-                vectors = unit(bundler.bundle(batch["text"].tolist()[lo : lo + 1000]))
+            texts = batch["text"].tolist()
+            for lo, hi in text_slices(texts, SLICE_CHARS):
+                langs = batch["lang"].to_numpy()[lo:hi]
+                vectors = unit(bundler.bundle(texts[lo:hi]))
                 for lang in set(langs):
                     sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
-    partial = rows.mapInPandas(run, "lang string, v array<double>")
+    partial = rows.mapInPandas(tidied(run), "lang string, v array<double>")
     total = partial.groupBy("lang").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
     sums = {r.lang: r.v.toArray() for r in total.collect()}
     return {lang: v / norm for lang, v in sorted(sums.items()) if (norm := float(np.linalg.norm(v))) > 0}
@@ -186,7 +190,7 @@ def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], lang_out: st
 
         return work
 
-    return append_columns(docs, text_col, [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], start, 2_000_000)
+    return append_columns(docs, text_col, [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], start, SLICE_CHARS)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

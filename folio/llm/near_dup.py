@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.bagminhash import signatures
-from folio.llm.batches import text_slices
+from folio.llm.batches import bound_batches, text_slices, tidied
 from folio.llm.components import connected_components
 from folio.llm.shingles import mix, multisets, normalised, shingles, similarity
 from folio.llm.storage import saved
@@ -73,7 +73,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 })
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    return rows.mapInPandas(run, f"id {kind}, key binary, bands array<long>, sketch array<long>")
+    return rows.mapInPandas(tidied(run), f"id {kind}, key binary, bands array<long>, sketch array<long>")
 
 
 def alike(a: str, b: str) -> Column:
@@ -111,7 +111,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thre
                 keep += [similarity(part(x), part(y)) >= threshold for x, y in zip(lefts[lo:hi], rights[lo:hi], strict=True)]
             yield batch[["a", "b"]][np.array(keep, bool)]
 
-    return saved(met.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}").distinct(), "edges")
+    return saved(met.select("a", "b", "text_a", "text_b").mapInPandas(tidied(run), f"a {kind}, b {kind}").distinct(), "edges")
 
 
 def _mixed(shared: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -159,7 +159,9 @@ def block_links(texts: list[str], left: np.ndarray, right: np.ndarray, threshold
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # the times of a shingle are items of their own
         docs.append(np.repeat(d, n) + lo)
         hashes.append(mix(np.repeat(h, n) + step.astype(np.uint64)))
-    doc, item = np.concatenate(docs), np.concatenate(hashes)
+    doc, item = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+    if not len(doc):
+        return []
     order = np.argsort(item)
     doc, item = doc[order], item[order]
     new = np.concatenate([[True], item[1:] != item[:-1]])
@@ -212,6 +214,7 @@ def _group_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the smallest id of its near duplicates) and kept (whether it is that document)."""
+    bound_batches(docs.sparkSession)
     sig = saved(signed(docs, id_col, text_col), "signatures")
     reps = saved(sig.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = reps.select("rep", "sketch", F.explode("bands").alias("band"))

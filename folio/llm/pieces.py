@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.batches import text_slices
+from folio.llm.batches import bound_batches, text_slices, tidied
 from folio.llm.merges import LONG_WORD, PAIR_BITS, IntTable, MergeTables, relax, relax_one
 from folio.llm.token_counts import slices
 
 MARK = "▁"
-SLICE_CHARS = 6_000_000
-MEMO_UNITS = 300_000
+SLICE_CHARS = 3_000_000
+MEMO_UNITS = 250_000
 #: Characters of new units indexed at once.
-INDEX_CHARS = 2_000_000
+INDEX_CHARS = 1_000_000
 
 
 @dataclass
@@ -274,6 +274,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out_col: s
 
     With check_col also whether decoding the ids gives the text back (null for null texts).
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_pieces(path))
     rest = [c for c in docs.columns if c not in (out_col, check_col)]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out_col, T.ArrayType(T.IntegerType()))])
@@ -295,11 +296,12 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out_col: s
                     made.append(pa.array([None if t is None else decoder.decode(x) == t for t, x in zip(some, ids, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in rest), *made], names=schema.names)
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(tidied(run), schema)
 
 
 def decode_pieces(docs: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """All columns of docs and the text that the piece ids stand for; no shuffle."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_pieces(path))
     rest = [c for c in docs.columns if c != out_col]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out_col, T.StringType())])
@@ -314,7 +316,7 @@ def decode_pieces(docs: DataFrame, path: str, ids_col: str = "piece_ids", out_co
             texts = [None if no else decoder.decode(values[a:b].tobytes()) for a, b, no in zip(bounds[:-1], bounds[1:], gone, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=schema.names)
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(tidied(run), schema)
 
 
 def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,6 +324,7 @@ def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Encodes and decodes in one pass; null text counts as empty.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_pieces(path))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -337,4 +340,4 @@ def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_pieces long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidied(run), f"id {kind}, n_pieces long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)

@@ -67,7 +67,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     doc = np.searchsorted(np.cumsum(sizes), starts, "right")
     count = np.bincount(doc, minlength=len(texts))
     out = np.zeros(len(words), np.uint64)
-    for j in range(SIZE):  # words beyond a short text's end leave out what they would add
+    for j in range(min(SIZE, len(words))):  # words beyond a short text's end leave out what they would add
         part = np.zeros(len(words), np.uint64)
         part[: len(words) - j] = words[j:] * np.uint64((_ODD * (2 * j + 3)) % (1 << 64))
         if j:

@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.batches import bound_batches, tidied
 from folio.llm.merges import LONG_WORD, PAIR_BITS, IntTable, MergeTables, relax, relax_one
 
 SYMBOL_BITS = 10
@@ -245,6 +246,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     Rows with a null id stay.  No shuffle: one pass over the id and text columns.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_tokenizer(path))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -257,5 +259,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             yield batch
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInPandas(tidied(run), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
