@@ -68,7 +68,7 @@ def eligible_regions(df: DataFrame) -> DataFrame:
 
 def growth(std: Column) -> Column:
     extra = F.when(F.isnan(std), F.lit(0)).otherwise(F.greatest(g.saturated(std * RADIUS_PER_STD), F.lit(0)))
-    return F.least(F.lit(MIN_RADIUS) + extra, F.lit(MAX_RADIUS))
+    return F.lit(MIN_RADIUS) + F.least(extra, F.lit(MAX_RADIUS - MIN_RADIUS))
 
 
 def merge_rects(df: DataFrame) -> DataFrame:

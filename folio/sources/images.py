@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folio.functions.text import INPUT_SUFFIXES, suffix
 
 SCHEMA_VERSION = 1
 RECT = "struct<x1:int,y1:int,x2:int,y2:int>"
 #: Fixed schemas of the stage checkpoints.
-RAW_PAGE = T.StructType.fromDDL(f"schema_version int, original_path string, base_image struct<path:string>, raw_mask struct<path:string>, scale double, image_size array<int>, blocks array<struct<rect:{RECT},language:string,confidence:float,mask_coverage:float>>")
-MASK_DATA = T.StructType.fromDDL(f"schema_version int, original_path string, regions array<struct<rect:{RECT},std_deviation:double,failed:boolean,thickness:int>>")
+RAW_PAGE = f"schema_version int, original_path string, base_image struct<path:string>, raw_mask struct<path:string>, scale double, image_size array<int>, blocks array<struct<rect:{RECT},language:string,confidence:float,mask_coverage:float>>"
+MASK_DATA = f"schema_version int, original_path string, regions array<struct<rect:{RECT},std_deviation:double,failed:boolean,thickness:int>>"
 
 
 def image_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -63,7 +62,7 @@ def write_checkpoint(pages: DataFrame, path: str) -> None:
     pages.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.json(path)
 
 
-def read_checkpoint(spark: SparkSession, path: str, schema: T.StructType = RAW_PAGE) -> DataFrame:
+def read_checkpoint(spark: SparkSession, path: str, schema: str = RAW_PAGE) -> DataFrame:
     """Pages of a checkpoint; another schema version is an error."""
     pages = spark.read.schema(schema).json(path)
     if not pages.filter(F.col("schema_version") != SCHEMA_VERSION).isEmpty():
