@@ -18,13 +18,15 @@ from folio.llm.shingles import mix
 
 #: Points drawn at once for each process, by the number of processes of a set.
 DRAWS = ((16, 256), (64, 64), (256, 16), (1 << 62, 2))
+#: Points drawn at once; bounds memory only.
+POINTS = 400_000
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
     """uint64 array [n_docs, registers]; the rows of sets without elements are 0.
 
-    doc, element and weight (at least 1) list the elements of the sets.
+    doc, element and weight (at least 1) list the elements of the sets, those of a set together.
     """
     levels = np.frexp(weight.astype(np.float64))[1]
     levels = np.where(weight == 1 << np.maximum(levels - 1, 0), levels - 1, levels) + 1  # intervals that start below the weight
@@ -40,9 +42,16 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     for limit, draws in DRAWS:
         own = (size > below) & (size <= limit)
         below = limit
-        if own.any():
-            docs, local = np.unique(d[own], return_inverse=True)
-            out[docs] = _run(local, key[own], low[own], rate[own], w[own], len(docs), registers, draws)
+        rows = np.nonzero(own)[0]
+        if not len(rows):
+            continue
+        edges = np.nonzero(np.concatenate([[True], d[rows][1:] != d[rows][:-1]]))[0]
+        part = edges * draws // POINTS
+        cuts = edges[np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]].tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(rows)], strict=True):  # whole sets, about POINTS points at once
+            some = rows[lo:hi]
+            docs, local = np.unique(d[some], return_inverse=True)
+            out[docs] = _run(local, key[some], low[some], rate[some], w[some], len(docs), registers, draws)
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch on its way to Python; texts differ too much in length to count rows.
 BATCH_BYTES = 8 << 20
+TRIM_S = 1.0
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -23,20 +25,29 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def _give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidied(work: Callable) -> Callable:
-    """A task function that gives freed memory back to the system when it ends, for its worker process stays."""
+    """A task function that gives freed memory back to the system now and then and when it ends, for its worker process stays."""
 
     @functools.wraps(work)
     def run(batches):
+        last = time.monotonic()
         try:
-            yield from work(batches)
+            for out in work(batches):
+                yield out
+                if time.monotonic() - last > TRIM_S:
+                    _give_back()
+                    last = time.monotonic()
         finally:
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _give_back()
 
     return run
 

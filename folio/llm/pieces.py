@@ -30,10 +30,10 @@ from folio.llm.merges import LONG_WORD, PAIR_BITS, IntTable, MergeTables, relax,
 from folio.llm.token_counts import slices
 
 MARK = "▁"
-SLICE_CHARS = 3_000_000
-MEMO_UNITS = 250_000
+SLICE_CHARS = 4_000_000
+MEMO_UNITS = 320_000
 #: Characters of new units indexed at once.
-INDEX_CHARS = 1_000_000
+INDEX_CHARS = 900_000
 
 
 @dataclass
@@ -208,7 +208,7 @@ class Encoder:
         lo, hi = occurrence_ranges(text, order, m.codes, m.lengths)
         n = hi - lo
         row = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        at = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        at = order[np.repeat((lo - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)]
         length, token = m.lengths.astype(np.int32)[row], m.ids[row]
         del order, row
         covered = np.zeros(len(text), bool)
@@ -223,6 +223,7 @@ class Encoder:
         level = at + length - starts.astype(np.int32)[unit]
         long = size > LONG_WORD
         keep = ~long[unit] if long.any() else slice(None)
+        del text
         last, count = relax(m.tables, at[keep], (at + length)[keep], token[keep], level[keep], int(ends[-1]) + 1, starts)
         memo: dict[tuple[int, int], bool] = {}
         for u in np.nonzero(long)[0]:
