@@ -421,11 +421,39 @@ i AS (SELECT page_id, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FRO
 SELECT u.page_id, i.n AS both, u.n AS either, e.n AS only_a, coalesce(far, 0) AS far, far IS NULL AS within FROM u LEFT JOIN i USING (page_id) LEFT JOIN e USING (page_id) LEFT JOIN f USING (page_id)""", "pixels")
 
 
+def refine_simple(prediction: DataFrame, boxes: DataFrame, w: int, h: int, pad: int, radius: int = 3) -> DataFrame:
+    """(page_id, x, y) set: prediction above its limit inside the padded boxes, grown by a diamond, clipped to the boxes again."""
+    wide = boxes.select("page_id", "idx", *((F.col(c) + d).alias(c) for c, d in (("x1", -pad), ("y1", -pad), ("x2", pad), ("y2", pad))))
+    inside = rasterize(wide, w, h).select("page_id", "x", "y").distinct()
+    core = prediction.filter(F.col("v") > PREDICTION_LIMIT).join(inside, ["page_id", "x", "y"], "left_semi").select("page_id", "x", "y")
+    return dilate(core, diamond(radius), w, h).join(inside, ["page_id", "x", "y"], "left_semi")
+
+
+def q_refine_simple(spark, sf):
+    return refine_simple(pixels(spark, sf).filter("v % 3 = 0"), small_boxes(spark, sf).filter("idx % 2 = 0"), 24, 16, 1)
+
+
+SQL_REFINE = with_views(_SMALL + f""", i AS (SELECT DISTINCT p.page_id, p.x, p.y, v FROM boxes b JOIN pixels p ON p.page_id = b.page_id AND p.x >= x1 - 1 AND p.x < x2 + 1 AND p.y >= y1 - 1 AND p.y < y2 + 1 WHERE idx % 2 = 0), {_offsets_sql('k', diamond(3))},
+g AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM i, k WHERE v > 60 AND v % 3 = 0) SELECT i.page_id, i.x, i.y FROM i JOIN g ON g.page_id = i.page_id AND g.x = i.x AND g.y = i.y""", "blocks", "pixels")
+
+
+def q_candidate_greys(spark, sf):
+    """Grey values under the plus-eroded bright mask, with their counts."""
+    p = pixels(spark, sf)
+    core = extreme(p.withColumn("v", threshold_binary(F.pmod(F.col("v") * 5, F.lit(256)), GREY_LIMIT)), PLUS, "min").filter(F.col("v") > GREY_LIMIT).select("page_id", "x", "y")
+    return p.join(core, ["page_id", "x", "y"]).groupBy("page_id", "v").agg(F.count("*").alias("n"))
+
+
+SQL_GREYS = with_views(f""", b AS (SELECT page_id, x, y, CASE WHEN v * 5 % 256 > 127 THEN 255 ELSE 0 END AS m FROM pixels), {_offsets_sql('k', PLUS)},
+e AS (SELECT t.page_id, t.x, t.y FROM b t, k JOIN b s ON s.page_id = t.page_id AND s.x = t.x + dx AND s.y = t.y + dy GROUP BY ALL HAVING min(s.m) > 127)
+SELECT p.page_id, v, count(*) AS n FROM pixels p JOIN e USING (page_id, x, y) GROUP BY p.page_id, v""", "pixels")
+
+
 QUERIES = {
     "luma": q_luma, "thresholds": q_thresholds, "dilate": q_dilate, "grey_morphology": q_grey_morphology, "edge_pixels": q_edges, "grey_statistics": q_grey_statistics, "histogram_255": q_histogram, "otsu": q_otsu,
-    "best_splits": q_splits, "image_metrics": q_image_metrics, "resize_nearest": q_resize_nearest, "resize_area": q_resize_area, "composite_layers": q_composite, "mask_coverage": q_mask_coverage, "rasterize_union": q_rasterize_union, "mask_sets": q_mask_sets,
+    "best_splits": q_splits, "image_metrics": q_image_metrics, "resize_nearest": q_resize_nearest, "resize_area": q_resize_area, "composite_layers": q_composite, "mask_coverage": q_mask_coverage, "rasterize_union": q_rasterize_union, "mask_sets": q_mask_sets, "refine_simple": q_refine_simple, "candidate_greys": q_candidate_greys,
 }
 ORACLES = {
     "luma": SQL_LUMA, "thresholds": SQL_THRESH, "dilate": SQL_DILATE, "grey_morphology": SQL_MORPH, "edge_pixels": SQL_EDGES, "grey_statistics": SQL_STATS, "histogram_255": SQL_HIST, "otsu": SQL_OTSU,
-    "best_splits": SQL_SPLITS, "image_metrics": SQL_METRICS, "resize_nearest": SQL_NEAREST, "resize_area": SQL_AREA, "composite_layers": SQL_COMPOSITE, "mask_coverage": SQL_COVERAGE, "rasterize_union": SQL_UNION, "mask_sets": SQL_SETS,
+    "best_splits": SQL_SPLITS, "image_metrics": SQL_METRICS, "resize_nearest": SQL_NEAREST, "resize_area": SQL_AREA, "composite_layers": SQL_COMPOSITE, "mask_coverage": SQL_COVERAGE, "rasterize_union": SQL_UNION, "mask_sets": SQL_SETS, "refine_simple": SQL_REFINE, "candidate_greys": SQL_GREYS,
 }

@@ -56,3 +56,14 @@ def resolve_threads(configured: int, cores: int, images: int) -> int:
 def keeps_in_memory(images: int, debug: bool, no_cache: bool) -> bool:
     """A single image without debug output or cache needs no checkpoint files."""
     return images == 1 and not debug and no_cache
+
+
+def requested_outputs(save_only_mask: bool = False, save_only_cleaned: bool = False, save_only_text: bool = False, extract_text: bool = False) -> set[str]:
+    """Categories to export: what "only" names, else cleaned and mask; text when asked for."""
+    only = {name for name, on in (("mask", save_only_mask), ("cleaned", save_only_cleaned), ("text", save_only_text)) if on}
+    return only or {"cleaned", "mask", *(["text"] if extract_text else [])}
+
+
+def implied_skips(skips: set[str], steps: tuple[str, ...]) -> set[str]:
+    """Skipping a step skips all before it."""
+    return set(steps[: start_step(skips, steps)])

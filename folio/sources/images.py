@@ -45,6 +45,34 @@ def png_dpi(content: Column) -> Column:
     return F.when((at > 0) & (unit == "01"), F.round(F.conv(F.substring(head, at + 8, F.lit(8)), 16, 10).cast("double") * 0.0254).cast("int"))
 
 
+def read_jpeg_header(head: bytes) -> tuple[int, int, int, int | None] | None:
+    """(w, h, channels, dpi) of a JPEG's first bytes: frame segment and JFIF density (per inch, or per centimetre times 2.54)."""
+    if head[:2] != b"\xff\xd8":
+        return None
+    at, dpi = 2, None
+    while at + 9 < len(head) and head[at] == 0xFF:
+        marker, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+        if marker == 0xE0 and head[at + 4 : at + 9] == b"JFIF\0" and at + 14 <= len(head):
+            unit, density = head[at + 11], int.from_bytes(head[at + 12 : at + 14], "big")
+            dpi = {1: density, 2: round(density * 2.54)}.get(unit)
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(head[at + 7 : at + 9], "big"), int.from_bytes(head[at + 5 : at + 7], "big"), head[at + 9], dpi
+        at += 2 + size
+    return None
+
+
+def jpeg_headers(files: DataFrame) -> DataFrame:
+    """(path, w, h, channels, dpi) of the JPEG files of a listing; only their first 64 KiB reach Python."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, *h) for p, c in zip(batch["path"], batch["head"], strict=True) if (h := read_jpeg_header(bytes(c)))]
+            yield pd.DataFrame(rows, columns=["path", "w", "h", "channels", "dpi"]).astype({"dpi": "Int32"})
+
+    return files.select("path", F.substring("content", 1, 65536).alias("head")).mapInPandas(run, "path string, w int, h int, channels int, dpi int")
+
+
 def netpbm_one_bit(content: Column) -> Column:
     return F.substring(content, 1, 2).isin(bytearray(b"P1"), bytearray(b"P4"))
 

@@ -99,6 +99,16 @@ def test_images_and_headers(spark, tmp_path):
     assert (px.width, px.height, px.nChannels) == (12, 5, 1) and bytes(px.data) == image.tobytes()
 
 
+def test_jpeg_headers(spark, tmp_path):
+    jfif = b"\xff\xd8\xff\xe0\x00\x10JFIF\0\x01\x01\x02\x00\x76\x00\x76\0\0"
+    frame = b"\xff\xc0\x00\x11\x08\x00\x20\x00\x30\x03" + b"\0" * 9
+    (tmp_path / "a.jpg").write_bytes(jfif + frame)
+    (tmp_path / "b.jpg").write_bytes(b"not one")
+    from folio.sources.images import jpeg_headers
+
+    assert [tuple(r)[1:] for r in jpeg_headers(image_files(spark, [str(tmp_path)])).collect()] == [(48, 32, 3, 300)]
+
+
 def test_checkpoints(spark, tmp_path):
     page = [(1, "a.png", ("base.png",), ("mask.png",), 1.0, [10, 20], [((1, 2, 3, 4), None, 0.5, 0.25)])]
     from folio.sources.images import RAW_PAGE
@@ -131,6 +141,8 @@ def test_profile():
     p = profile.parse("[general]\noverlap = 30\nnew_key = 'x'\n")
     assert p.values["overlap"] == 30.0 and p.values["max_std"] == 15.0 and p.unknown == {"new_key": "x"}
     assert profile.resolve_threads(0, 8, 3) == 3 and profile.resolve_threads(2, 8, 30) == 2 and profile.start_step({"mask"}, ("detect", "preprocess", "mask")) == 3
+    assert profile.requested_outputs() == {"cleaned", "mask"} and profile.requested_outputs(save_only_mask=True, extract_text=True) == {"mask"} and profile.requested_outputs(extract_text=True) == {"cleaned", "mask", "text"}
+    assert profile.implied_skips({"preprocess"}, ("detect", "preprocess", "mask")) == {"detect", "preprocess"}
     assert profile.keeps_in_memory(1, False, True) and not profile.keeps_in_memory(2, False, True)
 
 
