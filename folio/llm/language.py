@@ -65,7 +65,7 @@ def gram_vectors(codes: np.ndarray) -> np.ndarray:
     out = np.ones((len(codes), DIM), np.int8)
     for place in range(GRAM):
         out *= vectors[place, (codes >> (LETTER_BITS * place)) & (LETTERS - 1)]
-    return out.astype(np.float32)
+    return out
 
 
 class Bundler:
@@ -73,7 +73,7 @@ class Bundler:
 
     def __init__(self):
         self.known = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, DIM), np.float32)
+        self.vectors = np.zeros((0, DIM), np.int8)
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text, zero where it has no letter."""
@@ -134,7 +134,7 @@ class Bundler:
             order = np.argsort(known)
             self.vectors = np.concatenate([self.vectors, gram_vectors(new)])[order]
             self.known = known[order]
-        return self.vectors[np.searchsorted(self.known, codes)]
+        return self.vectors[np.searchsorted(self.known, codes)].astype(np.float32)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
