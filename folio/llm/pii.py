@@ -183,7 +183,7 @@ def report_sql() -> str:
     iban = f"list_reduce(list_transform(string_split({moved}, ''), lambda c: CAST(CASE WHEN c < 'A' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT)), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) % 97 = 1"
     parts = [
         _sql_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        _sql_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0"),
+        _sql_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST(right('000' || p, 3) AS INTEGER) > 255)) = 0"),
         _sql_kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN length({d}) BETWEEN 14 AND 19 THEN {luhn_sql} ELSE false END"),
         _sql_kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({d}) BETWEEN 10 AND 15"),
         _sql_kind("iban", PATTERNS["iban"], iban),
