@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.sources.bridges import blocks, pixels, with_views
+from folio.sources.bridges import blocks, pixels, table, with_views
 
 GREY_LIMIT, PREDICTION_LIMIT, OFF_WHITE = 127, 60, 240
 
@@ -365,12 +365,12 @@ SELECT page_id, x, y, alpha, CASE WHEN alpha = 255 THEN v END AS opaque_v, alpha
 
 
 def small_boxes(spark, sf) -> DataFrame:
-    """Blocks shrunk onto the pixel pages' canvas."""
-    b = blocks(spark, sf).filter("page_id < 24")
+    """Blocks of the pages that have a raster, shrunk onto its canvas."""
+    b = blocks(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("page_id")), "page_id", "left_semi")
     return b.select("page_id", "idx", (F.col("x1") % 18).alias("x1"), (F.col("y1") % 12).alias("y1"), (F.col("x1") % 18 + 2 + F.col("x2") % 9).alias("x2"), (F.col("y1") % 12 + 2 + F.col("y2") % 7).alias("y2"), "conf_milli")
 
 
-_SMALL = ", boxes AS (SELECT page_id, idx, x1 % 18 AS x1, y1 % 12 AS y1, x1 % 18 + 2 + x2 % 9 AS x2, y1 % 12 + 2 + y2 % 7 AS y2, conf_milli FROM blocks WHERE page_id < 24)"
+_SMALL = ", boxes AS (SELECT page_id, idx, x1 % 18 AS x1, y1 % 12 AS y1, x1 % 18 + 2 + x2 % 9 AS x2, y1 % 12 + 2 + y2 % 7 AS y2, conf_milli FROM blocks WHERE page_id IN (SELECT p_partkey FROM part))"
 
 
 def rasterize(boxes: DataFrame, w: int, h: int) -> DataFrame:
@@ -430,11 +430,11 @@ def refine_simple(prediction: DataFrame, boxes: DataFrame, w: int, h: int, pad:
 
 
 def q_refine_simple(spark, sf):
-    return refine_simple(pixels(spark, sf).filter("v % 3 = 0"), small_boxes(spark, sf).filter("idx % 2 = 0"), 24, 16, 1)
+    return refine_simple(pixels(spark, sf), small_boxes(spark, sf), 24, 16, 1)
 
 
-SQL_REFINE = with_views(_SMALL + f""", i AS (SELECT DISTINCT p.page_id, p.x, p.y, v FROM boxes b JOIN pixels p ON p.page_id = b.page_id AND p.x >= x1 - 1 AND p.x < x2 + 1 AND p.y >= y1 - 1 AND p.y < y2 + 1 WHERE idx % 2 = 0), {_offsets_sql('k', diamond(3))},
-g AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM i, k WHERE v > 60 AND v % 3 = 0) SELECT i.page_id, i.x, i.y FROM i JOIN g ON g.page_id = i.page_id AND g.x = i.x AND g.y = i.y""", "blocks", "pixels")
+SQL_REFINE = with_views(_SMALL + f""", i AS (SELECT DISTINCT p.page_id, p.x, p.y, v FROM boxes b JOIN pixels p ON p.page_id = b.page_id AND p.x >= x1 - 1 AND p.x < x2 + 1 AND p.y >= y1 - 1 AND p.y < y2 + 1), {_offsets_sql('k', diamond(3))},
+g AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM i, k WHERE v > 60) SELECT i.page_id, i.x, i.y FROM i JOIN g ON g.page_id = i.page_id AND g.x = i.x AND g.y = i.y""", "blocks", "pixels")
 
 
 def q_candidate_greys(spark, sf):

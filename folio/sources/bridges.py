@@ -43,10 +43,10 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("page_id"), F.col("row_idx").cast("int"), *(value(i) for i in range(7)))
 
 
-def pixels(spark: SparkSession, sf_dir: str, pages: int = 24, width: int = 24, height: int = 16) -> DataFrame:
-    """(page_id, x, y, v): small grey rasters, one for each of the first parts (the bridge's size, not a sample of it)."""
+def pixels(spark: SparkSession, sf_dir: str, width: int = 24, height: int = 16) -> DataFrame:
+    """(page_id, x, y, v): a small grey raster for every part."""
     grid = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
-    keys = table(spark, sf_dir, "part").filter(F.col("p_partkey") < pages).select(F.col("p_partkey").alias("page_id"))
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"))
     v = "(x * 7 + y * 13 + page_id * 29 + x * y * 3) % 256"
     return keys.join(F.broadcast(grid)).select("page_id", "x", "y", _int(v).alias("v"))
 
@@ -71,9 +71,8 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, idx, text): the first, middle and last bytes of each conversation turn stand for recognised boxes."""
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("idx"), F.substring("text", 1, 40).alias("text"))
-    return t
+    """(page_id, idx, text): each conversation turn stands for the text of a box."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("idx"), "text")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +99,7 @@ SQL = {
     + ", ".join(f"CAST(floor(abs(CAST(embedding[row_idx * 7 + {i + 1}] AS DOUBLE)) * 4096) AS INTEGER) AS q{i}" for i in range(7))
     + " FROM embeddings, generate_series(0, 8) AS g(row_idx))",
     "pixels": """pixels AS (SELECT page_id, x, y, CAST((x * 7 + y * 13 + page_id * 29 + x * y * 3) % 256 AS INTEGER) AS v
-  FROM (SELECT p_partkey AS page_id FROM part WHERE p_partkey < 24), (SELECT CAST(i % 24 AS INTEGER) AS x, CAST(i // 24 AS INTEGER) AS y FROM generate_series(0, 383) AS g(i)))""",
+  FROM (SELECT p_partkey AS page_id FROM part), (SELECT CAST(i % 24 AS INTEGER) AS x, CAST(i // 24 AS INTEGER) AS y FROM generate_series(0, 383) AS g(i)))""",
     "regions": """regions AS (SELECT *, CAST((x1 * 131 + y1 * 17 + idx * 7) % 30000 AS INTEGER) AS std_milli, (x2 + y2) % 5 = 0 AS failed,
   CASE WHEN (x1 + y2) % 7 <> 0 THEN CAST(4 + 2 * ((x1 + y1) % 11) AS INTEGER) END AS thickness FROM blocks)""",
     "outcomes": f"""outcomes AS (SELECT user_id AS run_id, event_id AS page_id,
@@ -108,7 +107,7 @@ SQL = {
   {_LIST(STEPS)}[event_id % 6 + 1] AS step FROM events)""",
     "durations": """durations AS (SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS pos,
   CAST((event_id * 7919) % 5000 AS INTEGER) AS ms FROM events)""",
-    "ocr_text": "ocr_text AS (SELECT conv_id AS page_id, CAST(turn AS INTEGER) AS idx, substr(text, 1, 40) AS text FROM conversations)",
+    "ocr_text": "ocr_text AS (SELECT conv_id AS page_id, CAST(turn AS INTEGER) AS idx, text FROM conversations)",
     "files": f"""files AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/$', '') || {_LIST(SUFFIXES)}[page_id % 10 + 1] AS path FROM pages)""",
 }
 
