@@ -10,9 +10,12 @@ Letters are compared in lower case; all that is not a letter separates words.
 Bundling is linear, so the n-grams of many documents are counted first and
 multiplied with the n-gram vectors at once: the same sums, in one product.
 
-Null text, and text without a letter, gets ``und`` with score 0; so does every
-text when no labelled document has a letter.  Equal cosines go to the first
-language by name.  Repeated rows are separate rows.
+Null text, and text without a letter (by Unicode, on every plane), gets ``und``
+with score 0; so does every text when no labelled document has a letter.  Equal
+cosines go to the first language by name.  Repeated rows are separate rows, an
+empty table gives none, other columns never enter.  A very long text is bundled
+part by part, n-grams are multiplied block by block, so memory follows neither
+a text's length nor its number of distinct n-grams.
 """
 
 from __future__ import annotations
@@ -34,18 +37,23 @@ GRAM = 3
 LETTER_BITS = 10
 LETTERS = 1 << LETTER_BITS
 UNKNOWN = "und"
-SLICE_CHARS = 1_000_000
+#: Characters bundled at once, n-grams multiplied at once and n-gram vectors kept; all three bound memory only.
+SLICE_CHARS, GRAM_BLOCK, KEPT_GRAMS = 500_000, 1 << 13, 1 << 15
+#: Prototypes travel to every worker: 8 KB each.
+MAX_LANGUAGES = 2000
 
 
 @cache
 def letter_codes() -> np.ndarray:
-    """Code of every code point of the basic plane."""
-    out = np.zeros(1 << 16, np.int64)
+    """Code of every code point."""
+    out = np.zeros(0x110000, np.int16)
     seen: dict[str, int] = {}
-    for c in map(chr, range(1 << 16)):
+    for c in map(chr, range(len(out))):
         if c.isalpha():
             low = c.lower()[0]
-            out[ord(c)] = seen.setdefault(low, 1 + len(seen) if len(seen) < LETTERS - 1 else 1 + ord(low) % (LETTERS - 1))
+            if low not in seen:
+                seen[low] = 1 + len(seen) if len(seen) < LETTERS - 1 else 1 + ord(low) % (LETTERS - 1)
+            out[ord(c)] = seen[low]
     return out
 
 
@@ -69,7 +77,7 @@ def gram_vectors(codes: np.ndarray) -> np.ndarray:
 
 
 class Bundler:
-    """Vectors of texts; keeps the vectors of the n-grams seen."""
+    """Vectors of texts; keeps the vectors of some n-grams seen."""
 
     def __init__(self):
         self.known = np.zeros(0, np.int64)
@@ -78,34 +86,55 @@ class Bundler:
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text, zero where it has no letter."""
         out = np.zeros((len(texts), DIM), np.float32)
-        raw = [f" {t} ".encode("utf-32-le", "surrogatepass") if t else b"" for t in texts]
-        size = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
+        for lo, hi in text_slices(texts, SLICE_CHARS):
+            if hi - lo == 1 and len(texts[lo] or "") > SLICE_CHARS:
+                out[lo] = self._long(texts[lo])
+            else:
+                out[lo:hi] = self._sums(*self._letters([f" {t} " if t else "" for t in texts[lo:hi]]), hi - lo)
+        return out
+
+    def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(code, text number) of the letters and of single gaps between them."""
+        raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
         points = np.frombuffer(b"".join(raw), np.uint32)
-        if not len(points):
-            return out
-        table = letter_codes()
-        code = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 1 + points.astype(np.int64) % (LETTERS - 1))
-        doc = np.repeat(np.arange(len(texts)), size)
+        code = letter_codes()[points]
+        doc = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) // 4 for r in raw])
         keep = code != 0
         keep[1:] |= (code[:-1] != 0) | (doc[1:] != doc[:-1])
-        keep[0] = True
-        code, doc = code[keep], doc[keep]
-        present = np.nonzero(np.bincount(code, minlength=1))[0]
-        small = np.zeros(int(code.max()) + 1, np.int64)
-        small[present] = np.arange(len(present))
-        base = len(present)
-        local = small[code]
+        keep[:1] = True
+        return code[keep], doc[keep]
+
+    def _long(self, text: str) -> np.ndarray:
+        """The vector of one very long text; what the last two places of a part held goes on to the next."""
+        total, carry = np.zeros(DIM, np.float64), np.zeros(0, np.int16)
+        text = f" {text} "
+        for i in range(0, len(text), SLICE_CHARS):
+            code, _ = self._letters([text[i : i + SLICE_CHARS]])
+            if len(carry) and carry[-1] == 0 and code[0] == 0:
+                code = code[1:]
+            code = np.concatenate([carry, code])
+            total += self._sums(code, np.zeros(len(code), np.int32), 1)[0]
+            carry = code[-(GRAM - 1) :]
+        return total.astype(np.float32)
+
+    def _sums(self, code: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        out = np.zeros((n_docs, DIM), np.float32)
         n = len(code) - GRAM + 1
         if n <= 0:
             return out
+        present = np.nonzero(np.bincount(code, minlength=1))[0]
+        base = len(present)
+        small = np.zeros(int(present[-1]) + 1, np.int64)
+        small[present] = np.arange(base)
+        local = small[code]
         gram = np.zeros(n, np.int64)
         for place in range(GRAM):
             gram += local[place : place + n] * base**place
-        inside = (doc[:n] == doc[GRAM - 1 :]) & ~((code[:n] == 0) & (code[GRAM - 1 :] == 0) & (code[1 : n + 1] == 0))
+        inside = doc[:n] == doc[GRAM - 1 :]
         gram, doc = gram[inside], doc[:n][inside]
         if base**GRAM <= 1 << 22:
             used = np.nonzero(np.bincount(gram, minlength=base**GRAM))[0]
-            to = np.zeros(base**GRAM, np.int64)
+            to = np.zeros(base**GRAM, np.int32)
             to[used] = np.arange(len(used))
             gram = to[gram]
         else:
@@ -113,20 +142,27 @@ class Bundler:
         full = np.zeros(len(used), np.int64)
         for place in range(GRAM):
             full |= present[used // base**place % base] << (LETTER_BITS * place)
-        vectors = self._vectors(full)
-        width = len(used)
+        for first in range(0, len(used), GRAM_BLOCK):
+            width = min(GRAM_BLOCK, len(used) - first)
+            own = slice(None) if len(used) <= GRAM_BLOCK else (gram >= first) & (gram < first + width)
+            self._add(out, doc[own], gram[own] - first, self._vectors(full[first : first + width]))
+        return out
+
+    @staticmethod
+    def _add(out: np.ndarray, doc: np.ndarray, gram: np.ndarray, vectors: np.ndarray) -> None:
+        """Add the n-grams' vectors to the rows of their texts, by products of counts; doc rises."""
+        width = len(vectors)
         rows = max(1, (1 << 21) // max(1, width))
-        bounds = np.searchsorted(doc, np.arange(0, len(texts) + rows, rows))
+        bounds = np.searchsorted(doc, np.arange(0, len(out) + rows, rows))
         for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             first = k * rows
-            here = min(rows, len(texts) - first)
+            here = min(rows, len(out) - first)
             if lo < hi and here > 0:
-                counts = np.bincount((doc[lo:hi] - first) * width + gram[lo:hi], minlength=here * width)
-                out[first : first + here] = counts.reshape(here, width).astype(np.float32) @ vectors
-        return out
+                counts = np.bincount((doc[lo:hi] - first).astype(np.int64) * width + gram[lo:hi], minlength=here * width)
+                out[first : first + here] += counts.reshape(here, width).astype(np.float32) @ vectors
 
     def _vectors(self, codes: np.ndarray) -> np.ndarray:
-        if len(self.known) > 1 << 15:
+        if len(self.known) > KEPT_GRAMS:
             self.__init__()
         new = np.setdiff1d(codes, self.known)
         if len(new):
@@ -142,18 +178,24 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length == 0, 1, length)
 
 
-def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
     """Unit prototype of each language of docs, from all its rows with a language.
 
     Sums are combined within partitions first; what reaches the driver is one
-    vector of DIM numbers for each distinct language.
+    vector of DIM numbers for each distinct language.  A column with more than
+    max_languages values is refused before any vector is collected, for it
+    holds something else than languages.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
 
+    if rows.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} distinct languages in {lang_col}")
+
     def run(batches):
         import pandas as pd
 
+        table = lambda sums: pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
         bundler, sums = Bundler(), {}
         for batch in batches:
             texts = batch["text"].tolist()
@@ -162,8 +204,11 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 vectors = unit(bundler.bundle(texts[lo:hi]))
                 for lang in set(langs):
                     sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
+                if len(sums) > 256:
+                    yield table(sums)
+                    sums = {}
         if sums:
-            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+            yield table(sums)
 
     partial = rows.mapInPandas(tidied(run), "lang string, v array<double>")
     total = partial.groupBy("lang").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
