@@ -9,7 +9,10 @@ The method adds ``iban`` (mod-97 must give 1), ``ssn`` and ``local_phone``
 Positions are code points, end exclusive.  A span's score starts from its kind,
 rises with a context word of its kind within ``CONTEXT`` code points before it,
 and falls with a word that speaks of examples.  Base spans are kept whatever
-their score.  Null text counts as empty.
+their score.  Null text counts as empty, an empty table gives no rows, repeated
+rows stay.  Work grows with a text's length and with n log n of its n matches:
+positions are running sums by doubling, and characters near a match are taken
+from the text's bytes, which can be reached without counting characters.
 """
 
 from __future__ import annotations
@@ -81,23 +84,62 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under an associative join, by doubling: log n passes over n elements."""
+
+    def doubled(a: Column, k: Column) -> Column:
+        return let(F.call_function("shiftleft", F.lit(1), k), lambda n: F.transform(a, lambda x, i: F.when(i < n, x).otherwise(join(F.get(a, i - n), x))))
+
+    def passes(a: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int") - 1)
+        return F.when(F.size(a) > 1, F.aggregate(rounds, a, doubled)).otherwise(a)
+
+    return let(values, passes)
+
+
 def located(text: Column, found: Column, pattern: str) -> Column:
-    """(start, end, match) of matches from the text between them."""
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    steps = F.arrays_zip(between.alias("gap"), found.alias("match"))
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    """(start, end, byte_start, byte_end, match) of matches from the text between them."""
+
+    def total(p: Column, size: Callable[[Column], Column]) -> Column:
+        return running(F.transform(p["found"], lambda m, i: size(F.get(p["gaps"], i)) + size(m)), lambda a, b: a + b)
+
+    def place(p: Column, ends: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            end, byte_end = F.get(ends["chars"], i), F.get(ends["bytes"], i)
+            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), (byte_end - F.octet_length(m)).alias("byte_start"), byte_end.alias("byte_end"), m.alias("match"))
+
+        return F.transform(p["found"], one)
 
-    def add(state: Column, step: Column) -> Column:
-        start = state["at"] + step["gap"]
-        end = start + F.length(step["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), step["match"].alias("match"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(step["match"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(one))).alias("out"))
+    both = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return let(both, lambda p: let(F.struct(total(p, F.length).alias("chars"), total(p, F.octet_length).alias("bytes")), lambda ends: place(p, ends)))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+
+def clear_of(base: Column, added: Column) -> Column:
+    """The added spans that overlap no base span.
+
+    In the order of base starts and added ends, an added span is clear when no
+    base span before it reaches beyond its start.
+    """
+    event = lambda s, key, tag, reach: F.struct(key.alias("key"), F.lit(tag).alias("tag"), reach.alias("reach"), s.alias("span"))
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b, b["start"], 1, b["end"])), F.transform(added, lambda s: event(s, s["end"], 0, F.lit(0)))))
+
+    def clear(e: Column) -> Column:
+        reached = running(F.transform(e, lambda x: x["reach"]), F.greatest)
+        return let(reached, lambda r: F.transform(F.filter(e, lambda x, i: (x["tag"] == 0) & (F.get(r, i) <= x["span"]["start"])), lambda x: x["span"]))
+
+    return F.when(F.size(added) > 0, let(events, clear)).otherwise(added)
+
+
+SPANS = "array<struct<start:int,order:int,end:int,kind:string,score:double,byte_start:int,byte_end:int>>"
 
 
 def with_spans(docs: DataFrame, out_col: str = "pii", text_col: str = "text") -> DataFrame:
-    """docs and an array of (start, order, end, kind, score) sorted by start, then kind."""
+    """docs and an array of spans (see SPANS) sorted by start, then kind."""
     names: dict[str, str] = {}
     text = free_name("pii_text", docs.columns)
     out = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -108,21 +150,24 @@ def with_spans(docs: DataFrame, out_col: str = "pii", text_col: str = "text") ->
 
     def spans(kind: str) -> Column:
         order = (*BASE, *ADDED).index(kind)
+        found = F.col(names[kind])
 
-        def score(s: Column) -> Column:
-            near = F.lower(F.substring(t, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
+        def score(raw: Column, s: Column) -> Column:
+            first = F.greatest(s["byte_start"] - 4 * CONTEXT, F.lit(0))  # a character takes four bytes at most
+            near = F.lower(F.right(F.substring(raw, first + 1, s["byte_start"] - first).cast("string"), F.lit(CONTEXT)))
             n = F.lit(SCORES[kind]) + F.when(near.rlike(WORDS[kind]), RISE).otherwise(0.0) - F.when(near.rlike(NOT_REAL), FALL).otherwise(0.0)
             return F.round(F.least(F.lit(1.0), n), 2)
 
-        kept = F.filter(located(t, F.col(names[kind]), PATTERNS[kind]), lambda s: CHECKS[kind](s["match"]))
-        scored = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(s).alias("score")))
-        return F.when(F.size(names[kind]) > 0, scored).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>"))
+        def span(raw: Column, s: Column) -> Column:
+            return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(raw, s).alias("score"), s["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end"))
+
+        kept = F.filter(located(t, found, PATTERNS[kind]), lambda s: CHECKS[kind](s["match"]))
+        scored = let(t.cast("binary"), lambda raw: F.transform(kept, lambda s: span(raw, s)))
+        return F.when(F.exists(found, CHECKS[kind]), scored).otherwise(F.array()).cast(SPANS)
 
     base, added = free_name("pii_base", out.columns), free_name("pii_added", out.columns)
-    out = out.withColumn(base, F.concat(*map(spans, BASE))).withColumn(added, F.concat(*map(spans, ADDED)))
-    clear = lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter(F.col(added), lambda s: (s["score"] >= KEEP) & clear(s))
-    return out.withColumn(out_col, F.array_sort(F.concat(F.col(base), more))).drop(text, base, added, *names.values())
+    out = out.withColumn(base, F.concat(*map(spans, BASE))).withColumn(added, F.filter(F.concat(*map(spans, ADDED)), lambda s: s["score"] >= KEEP))
+    return out.withColumn(out_col, F.array_sort(F.concat(F.col(base), clear_of(F.col(base), F.col(added))))).drop(text, base, added, *names.values())
 
 
 def span_list(spans: Column) -> Column:
@@ -144,14 +189,19 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redacted(text: Column, spans: Column) -> Column:
     """text with every span replaced by its kind in angle brackets; of overlapping spans the first names the whole."""
+    part = lambda raw, at, size: F.substring(raw, at + 1, size).cast("string")
+
+    def build(p: Column) -> Column:
+        raw, ends = p["raw"], p["ends"]
+
+        def piece(s: Column, i: Column) -> Column:
+            new = lambda at: F.when(s["byte_start"] >= at, F.concat(part(raw, at, s["byte_start"] - at), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+            return let(F.coalesce(F.get(ends, i - 1), F.lit(0)), new)
 
-    def add(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        new = F.when(s["start"] >= state["at"], F.concat(gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], new).alias("out"))
+        return F.concat(F.array_join(F.transform(p["spans"], piece), ""), part(raw, F.element_at(ends, -1), F.lit(2_147_483_647)))
 
-    end = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, 2_147_483_647))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, end)
+    reach = running(F.transform(spans, lambda s: s["byte_end"]), F.greatest)
+    return let(F.struct(text.cast("binary").alias("raw"), spans.alias("spans"), reach.alias("ends")), build)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
