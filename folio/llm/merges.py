@@ -10,7 +10,8 @@ the word's token edges, run here in lock step over many words at once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -19,6 +20,10 @@ PAIR_BITS = 20
 #: Words longer than this are relaxed one by one; lock step would idle on them.
 LONG_WORD = 2000
 START, UNREACHED = -2, -1
+#: Answers remembered by a table, as a power of two; a fixed eight megabytes.
+KNOWN_BITS = 20
+#: Pairs remembered while one very long word is relaxed.
+MEMO_PAIRS = 200_000
 
 
 class IntTable:
@@ -67,6 +72,54 @@ class MergeTables:
     left: np.ndarray
     right: np.ndarray
     pairs: IntTable
+    #: Remembered answers, one pair a slot: the pair's key, then a bit.
+    known: np.ndarray | None = field(default=None, repr=False, compare=False)
+    #: The tables as lists and a dictionary, made when single pairs are asked for.
+    plain: tuple | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": None, "plain": None}
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As valid_pairs, asking only for pairs that are not remembered."""
+        if self.known is None:
+            self.known = np.full(1 << KNOWN_BITS, -1, np.int64)
+        key = (a.astype(np.int64) << PAIR_BITS) | b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+        held = self.known[slot]
+        out = (held & 1).astype(bool)
+        new = np.nonzero(held >> 1 != key)[0]
+        if new.size:
+            out[new] = self.valid_pairs(a[new], b[new])
+            self.known[slot[new]] = (key[new] << 1) | out[new]
+        return out
+
+    def follows(self, a: int, b: int, memo: dict[tuple[int, int], bool]) -> bool:
+        """The same for one pair, where anything may follow START."""
+        if a == START:
+            return True
+        ok = memo.get((a, b))
+        if ok is None:
+            ok = memo[a, b] = self._valid_pair(a, b)
+        return ok
+
+    def _valid_pair(self, a: int, b: int) -> bool:
+        if self.plain is None:
+            used = self.pairs.keys >= 0
+            self.plain = self.rank.tolist(), self.left.tolist(), self.right.tolist(), dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+        rank, left, right, pairs = self.plain
+        limit = 1 << 62
+        while True:
+            m = pairs.get((a << PAIR_BITS) | b, -1)
+            if m >= 0 and rank[m] < limit:
+                return False
+            x, y = rank[a], rank[b]
+            if x < 0 and y < 0:
+                return True
+            if x > y:
+                a, limit = right[a], x
+            else:
+                b, limit = left[b], y + 1
 
     def valid_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether encoding the joined text of a and b gives exactly (a, b).
@@ -114,29 +167,30 @@ def relax(tables: MergeTables, starts: np.ndarray, ends: np.ndarray, tokens: np.
         before = last[s]
         ok = before == START
         ask = np.nonzero(before >= 0)[0]
-        ok[ask] = tables.valid_pairs(before[ask], t[ask])
+        ok[ask] = tables.agree(before[ask], t[ask])
         last[e[ok]] = t[ok]
         count[e[ok]] = count[s[ok]] + 1
     return last, count
 
 
-def relax_one(tables: MergeTables, edges: list[list[tuple[int, int]]], memo: dict[tuple[int, int], bool]) -> tuple[list[int], list[int]]:
-    """The same for one very long word; edges[e] lists (start, token) of the edges that end at e."""
-    last, count = [START], [0]
-    for into in edges[1:]:
-        got, n = UNREACHED, 0
-        for s, t in into:
-            p = last[s]
-            if p == UNREACHED:
-                continue
-            ok = p == START
-            if not ok:
-                ok = memo.get((p, t))
-                if ok is None:
-                    ok = memo[p, t] = bool(tables.valid_pairs(np.array([p], np.int32), np.array([t], np.int32))[0])
-            if ok:
-                got, n = t, count[s] + 1
-                break
-        last.append(got)
-        count.append(n)
+def relax_long(tables: MergeTables, size: int, edges: Callable[[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one very long word, window by window.
+
+    edges(lo, hi) gives (start, length, token) of the edges that start in the window.
+    """
+    last, count = np.full(size + 1, UNREACHED, np.int32), np.zeros(size + 1, np.int32)
+    last[0] = START
+    pending: dict[int, list[tuple[int, int]]] = {}
+    memo: dict[tuple[int, int], bool] = {}
+    for lo in range(0, size, window):
+        hi = min(size, lo + window)
+        for s, n, t in zip(*(x.tolist() for x in edges(lo, hi)), strict=True):
+            pending.setdefault(s + n, []).append((s, t))
+        for end in range(lo + 1, hi + 1):  # edges of later windows end behind this one
+            for s, t in pending.pop(end, ()):
+                if last[s] != UNREACHED and tables.follows(int(last[s]), t, memo):
+                    last[end], count[end] = t, count[s] + 1
+                    break
+        if len(memo) > MEMO_PAIRS:
+            memo.clear()
     return last, count

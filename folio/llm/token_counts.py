@@ -1,15 +1,22 @@
 """Token counts by a compiled finite-state tokenizer.
 
 ``compile_tokenizer`` turns a word-end BPE vocabulary into a deterministic
-transducer: a symbol trie proposes the tokens that end at each position, and
-the one that agrees with the last token of the position where it starts is the
-transition taken; it carries the number of tokens emitted so far.  Text is cut
-into chunks at any position.  The map of a chunk sends the pending fragment
-before it (the state) to the emitted count and the pending fragment after it;
-maps compose associatively and are combined as a balanced prefix scan.
+transducer over a word's bytes: a symbol trie proposes the tokens that end at
+each position, exactly one of them agrees with the last token of the position
+where it starts, and that transition adds one to the count it carries.
+
+Text is cut into chunks at any position, words included.  A chunk's map sends
+a state, the fragment of a word that is pending before it, to the number of
+tokens it emits and the fragment pending behind it.  It is stored as what a
+state is joined to (``head``), the tokens emitted between the first and the
+last gap (``count``) and what stays pending (``tail``).  Maps compose
+associatively; those of every text are combined as a balanced prefix scan.  A
+special string is a map that emits one token and leaves nothing pending.
 
 Results: null text counts as empty (0 tokens, 0 bytes).  Special strings inside
-a text count as one token each, as the library's default has it.
+a text count as one token each, as the library's default has it.  An empty
+table gives no rows, repeated rows stay, and of a very long text only its chunk
+maps are held beside it.
 """
 
 from __future__ import annotations
@@ -27,13 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.batches import bound_batches, tidied
-from folio.llm.merges import LONG_WORD, PAIR_BITS, IntTable, MergeTables, relax, relax_one
+from folio.llm.merges import LONG_WORD, PAIR_BITS, IntTable, MergeTables, relax, relax_long
 
 SYMBOL_BITS = 10
+#: Added to a word's last byte.
+WORD_END = 256
 CHUNK = 1 << 16
+#: Bytes of a very long word relaxed at once.
+WINDOW_BYTES = 100_000
 #: Characters of text worked on at once, and words remembered by a worker; both bound memory only.
-SLICE_CHARS = 4_000_000
-MEMO_WORDS = 400_000
+SLICE_CHARS = 2_000_000
+MEMO_WORDS = 300_000
 
 #: Fixed values of the vocabulary's pre-tokenizer: its pattern and what counts as white space there.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -66,45 +77,59 @@ class Transducer:
         short = np.nonzero(size <= LONG_WORD)[0]
         if len(short):
             out[short] = self._lock_step([raw[i] for i in short], size[short])
-        memo: dict[tuple[int, int], bool] = {}
         for i in np.nonzero(size > LONG_WORD)[0]:
-            s, e, t, _, n = self._edges(raw[i], size[i : i + 1])
-            into: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            for a, b, c in zip(s.tolist(), e.tolist(), t.tolist(), strict=True):
-                into[b].append((a, c))
-            out[i] = relax_one(self.tables, into, memo)[1][-1]
+            out[i] = self._long(raw[i])
         return out
 
     def _lock_step(self, raw: list[bytes], size: np.ndarray) -> np.ndarray:
-        s, e, t, level, n = self._edges(b"".join(raw), size)
-        ends = np.cumsum(size + 1) - 1
-        _, count = relax(self.tables, s, e, t, level, n, ends - size)
-        return count[ends]
-
-    def _edges(self, raw: bytes, size: np.ndarray):
-        symbols = np.frombuffer(raw, np.uint8).astype(np.int64)
+        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         stop = np.cumsum(size)
-        symbols[stop - 1] += 256
+        symbols[stop - 1] += WORD_END
         word = np.repeat(np.arange(len(size)), size)
-        limit = stop[word]
-        at = np.arange(len(symbols))
-        first = (stop - size)[word]
-        node = np.zeros(len(symbols), np.int64)
-        found = []
+        start, length, token = self._edges(symbols, np.arange(len(symbols)), stop[word])
+        shift, ends = start + word[start], stop + np.arange(len(size))  # a node more than bytes in each word
+        _, count = relax(self.tables, shift, shift + length, token, start - (stop - size)[word[start]] + length, len(symbols) + len(size), ends - size)
+        return count[ends]
+
+    def _long(self, raw: bytes) -> int:
+        longest = self.longest()
+
+        def edges(lo: int, hi: int):
+            symbols = np.frombuffer(raw[lo : hi + longest], np.uint8).astype(np.int64)
+            if hi + longest >= len(raw):
+                symbols[-1] += WORD_END
+            start, length, token = self._edges(symbols, np.arange(hi - lo), np.full(hi - lo, len(symbols)))
+            return start + lo, length, token
+
+        return int(relax_long(self.tables, len(raw), edges, WINDOW_BYTES)[1][-1])
+
+    def longest(self) -> int:
+        """Bytes of the longest token at most: a symbol's parent has the smaller number, so depths follow in one pass."""
+        used = self.trie.keys >= 0
+        parent, child = self.trie.keys[used] >> SYMBOL_BITS, self.trie.values[used]
+        depth = np.zeros(len(self.accepts), np.int64)
+        for p, c in sorted(zip(parent.tolist(), child.tolist(), strict=True), key=lambda x: x[1]):
+            depth[c] = depth[p] + 1
+        return int(depth.max())
+
+    def _edges(self, symbols: np.ndarray, at: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, token) of the tokens that start at the places and end within their limits."""
+        node = np.zeros(len(at), np.int64)
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none)]
         depth = 0
         while at.size:
             node = self.trie.get((node << SYMBOL_BITS) | symbols[at + depth]).astype(np.int64)
             depth += 1
             go = node >= 0
-            at, node = at[go], node[go]
+            at, node, limit = at[go], node[go], limit[go]
             token = self.accepts[node]
             hit = token >= 0
             found.append((at[hit], np.full(int(hit.sum()), depth), token[hit]))
-            go = at + depth < limit[at]
-            at, node = at[go], node[go]
+            go = at + depth < limit
+            at, node, limit = at[go], node[go], limit[go]
         start, length, token = (np.concatenate(x) for x in zip(*found, strict=True))
-        shift = start + word[start]
-        return shift, shift + length, token, start - first[start] + length, len(symbols) + len(size)
+        return start, length, token.astype(np.int32)
 
 
 def compile_tokenizer(path: str) -> Transducer:
@@ -135,7 +160,7 @@ def compile_tokenizer(path: str) -> Transducer:
         ends = token.endswith(suffix)
         body = [to_byte[c] for c in (token[: -len(suffix)] if ends else token)]
         if ends:
-            body[-1] += 256
+            body[-1] += WORD_END
         node = 0
         for symbol in body:
             key = (node << SYMBOL_BITS) | symbol
@@ -150,37 +175,40 @@ def compile_tokenizer(path: str) -> Transducer:
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to a state: without a gap it only lengthens the pending fragment."""
+    """From the fragment pending before a chunk to the tokens emitted and the fragment pending behind it.
+
+    Without a gap (count None) nothing is emitted: the chunk only lengthens the fragment.
+    """
 
     head: str
-    words: tuple[str, ...] | None
+    count: int | None
     tail: str
 
 
-def chunk_map(text: str) -> ChunkMap:
-    gap = GAP.search(text)
+SPECIAL = ChunkMap("", 1, "")
+
+
+def cut(chunk: str) -> tuple[str, str, str]:
+    """What stands before the first gap, between the first and the last, and behind the last; all before where there is none."""
+    gap = GAP.search(chunk)
     if gap is None:
-        return ChunkMap(text, None, "")
-    tail = max(text.rfind(c) for c in set(GAP.findall(text[gap.start() :]))) + 1
-    return ChunkMap(text[: gap.start()], tuple(pre_tokens(text[gap.start() : tail])), text[tail:])
+        return chunk, "", ""
+    last = max(map(chunk.rfind, SPACE)) + 1
+    return chunk[: gap.start()], chunk[gap.start() : last], chunk[last:]
 
 
-def compose(a: ChunkMap, b: ChunkMap) -> ChunkMap:
-    """First a, then b; associative."""
-    if a.words is None and b.words is None:
-        return ChunkMap(a.head + b.head, None, "")
-    if a.words is None:
-        return ChunkMap(a.head + b.head, b.words, b.tail)
-    if b.words is None:
-        return ChunkMap(a.head, a.words, a.tail + b.head)
-    return ChunkMap(a.head, a.words + tuple(pre_tokens(a.tail + b.head)) + b.words, b.tail)
+def compose(a: ChunkMap, b: ChunkMap, emitted: int) -> ChunkMap:
+    """First a, then b; emitted are the tokens of the fragment that both close (see joint)."""
+    if a.count is None:
+        return ChunkMap(a.head + b.head, b.count, b.tail)
+    if b.count is None:
+        return ChunkMap(a.head, a.count, a.tail + b.head)
+    return ChunkMap(a.head, a.count + emitted + b.count, b.tail)
 
 
-def scan(maps: list[ChunkMap]) -> ChunkMap:
-    """All maps in turn, combined as a balanced tree."""
-    while len(maps) > 1:
-        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+def joint(a: ChunkMap, b: ChunkMap) -> str:
+    """The fragment that is complete once a and b meet."""
+    return "" if a.count is None or b.count is None else a.tail + b.head
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -194,15 +222,6 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
-def words_of(text: str, chunk: int = CHUNK) -> list[str]:
-    """Pre-tokens of a text without special strings."""
-    text = normalised(text)
-    if len(text) <= chunk:
-        return pre_tokens(text)
-    whole = scan([chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-    return [*pre_tokens(whole.head), *(whole.words or ()), *pre_tokens(whole.tail)]
-
-
 class Counter:
     """Counts tokens of texts; remembers the counts of words seen before."""
 
@@ -211,20 +230,63 @@ class Counter:
         self.memo: dict[str, int] = {}
         self.split = re.compile("|".join(map(re.escape, transducer.specials))) if transducer.specials else None
 
-    def count(self, texts: list[str]) -> list[int]:
-        per_text, extra = [], []
-        for text in texts:
-            parts = self.split.split(text) if self.split and any(s in text for s in self.transducer.specials) else [text]
-            extra.append(len(parts) - 1)
-            per_text.append(words_of(parts[0]) if len(parts) == 1 else [w for p in parts for w in words_of(p)])
+    def emitted(self, parts: list[str]) -> list[int]:
+        """Tokens of each part, which begins and ends with a word's border."""
+        per_part = [pre_tokens(p) if p else () for p in parts]
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
-        new = list(set().union(*per_text).difference(self.memo)) if per_text else []
+        new = list(set().union(*per_part).difference(self.memo))
+        long: dict[str, int] = {}
         for i in range(0, len(new), 100_000):
             some = new[i : i + 100_000]
-            self.memo.update(zip(some, self.transducer.counts(some).tolist(), strict=True))
-        get = self.memo.__getitem__
-        return [n + sum(map(get, words)) for n, words in zip(extra, per_text, strict=True)]
+            for word, n in zip(some, self.transducer.counts(some).tolist(), strict=True):
+                (self.memo if len(word) <= LONG_WORD else long)[word] = n
+        get = self.memo.__getitem__ if not long else lambda w: long[w] if w in long else self.memo[w]
+        return [sum(map(get, words)) for words in per_part]
+
+    def chunks(self, text: str, size: int) -> Iterator[str | None]:
+        """The text in chunks, with None for a special string."""
+        parts = self.split.split(text) if self.split and any(s in text for s in self.transducer.specials) else [text]
+        for k, part in enumerate(parts):
+            if k:
+                yield None
+            part = normalised(part)
+            for i in range(0, len(part), size):
+                yield part[i : i + size]
+
+    def count(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
+        per_text: list[list[ChunkMap]] = [[] for _ in texts]
+        waiting: list[tuple[int, str, str, str]] = []
+        size = 0
+
+        def close() -> None:
+            for (i, head, middle, tail), n in zip(waiting, self.emitted([w[2] for w in waiting]), strict=True):
+                per_text[i].append(ChunkMap(head, n if middle else None, tail))
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for part in self.chunks(text, chunk):
+                if part is None:
+                    close()
+                    per_text[i].append(SPECIAL)
+                    continue
+                waiting.append((i, *cut(part)))
+                size += len(part)
+                if size > SLICE_CHARS:
+                    close()
+                    size = 0
+        close()
+        return self.scan(per_text)
+
+    def scan(self, per_text: list[list[ChunkMap]]) -> list[int]:
+        """Tokens of each text from the maps of its chunks, neighbours composed until one is left."""
+        while any(len(maps) > 1 for maps in per_text):
+            pairs = [(a, b) for maps in per_text for a, b in zip(maps[::2], maps[1::2], strict=False)]
+            made = iter([compose(a, b, n) for (a, b), n in zip(pairs, self.emitted([joint(a, b) for a, b in pairs]), strict=True)])
+            per_text = [[next(made) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)] for maps in per_text]
+        whole = [maps[0] if maps else ChunkMap("", None, "") for maps in per_text]
+        heads, tails = self.emitted([m.head for m in whole]), self.emitted([m.tail for m in whole])
+        return [a + (m.count or 0) + b for m, a, b in zip(whole, heads, tails, strict=True)]
 
 
 def slices(texts: Iterable[str | None], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
