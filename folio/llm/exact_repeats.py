@@ -6,7 +6,8 @@ judged on the input and never cross documents.
 
 1. Texts are cut into runs of windows with a common anchor (``runs``).  Equal
    runs within a task, then runs of equal anchor in a shuffle, are compared by
-   128-bit digest: of equal runs only the earliest stays in question.
+   two 64-bit numbers, of the anchor and of the run: of equal runs only the
+   earliest stays in question.
 2. What stays and shares its anchor with a different run is cut into blocks of
    neighbouring windows, dealt out by the bytes all windows of the block share.
    Equal blocks again leave the earliest.  The different ones of all groups are
@@ -17,7 +18,8 @@ judged on the input and never cross documents.
 
 Rows that share an id are one document that may be listed repeatedly: the
 ranges found in any of them apply to each.  Rows with a null id neither lose
-nor cause anything.  Null text counts as empty.
+nor cause anything.  Null text counts as empty.  Ids that are not integers
+count in Spark's order of them.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.llm.batches import bound_batches, text_slices, tidied
 from folio.llm.bwt_merge import repeats
@@ -42,22 +45,45 @@ BLOCK = 13
 INDEX_BYTES = 1_500_000
 
 
-def later(group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows that fall into equal groups: (row numbers that come strictly after their group's first, the firsts)."""
+def later(group: np.ndarray, doc: np.ndarray, at: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that fall into equal groups: (row numbers that come strictly after their group's first, the firsts).
+
+    With a second number, rows are of one group when both are equal.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(group):
+        return none, none
     order = np.argsort(group, kind="stable")
-    same = group[order]
-    first = np.nonzero(np.concatenate([[True], same[1:] != same[:-1]]))[0] if len(same) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(same)))
+    new = _changes(group[order])
+    if second is not None:
+        other = _changes(second[order])
+        if (other & ~new).any():  # two groups share the first number
+            order = np.lexsort((second, group))
+            new, other = _changes(group[order]), _changes(second[order])
+        new |= other
+    first = np.nonzero(new)[0]
+    size = np.diff(np.append(first, len(order)))
     alone = order[first[size == 1]]
-    rows = order[np.repeat(size > 1, size)]
-    rows = rows[np.lexsort((at[rows], doc[rows], group[rows]))]
-    same = group[rows]
-    starts = np.nonzero(np.concatenate([[True], same[1:] != same[:-1]]))[0] if len(same) else np.zeros(0, np.int64)
+    many = np.repeat(size > 1, size)
+    rows, number = order[many], np.cumsum(new)[many]
+    by_place = np.lexsort((at[rows], doc[rows], number))
+    rows, number = rows[by_place], number[by_place]
+    starts = np.nonzero(_changes(number))[0]
     head = rows[np.repeat(starts, np.diff(np.append(starts, len(rows))))]
     after = (doc[rows] != doc[head]) | (at[rows] != at[head])
     return rows[after], np.concatenate([alone, rows[starts]])
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before."""
+    return np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
+
+
+def same_run(fp: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """With fp beside it, equal where both 64-bit numbers are; alone it only brings them together."""
+    return fp * np.int64(0x2545F491) ^ digest
+
+
 def _pack(lo, hi, anchor):
     return (lo << 16) | ((hi - lo) << 8) | (anchor - lo)
 
@@ -80,8 +106,7 @@ def _find_runs(batches: Iterator) -> Iterator:
     def combined():
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         held.clear()
-        group = c["fp"] * np.int64(0x2545F491) ^ c["digest"]
-        gone, kept = later(group, c["doc"], c["span"])
+        gone, kept = later(same_run(c["fp"], c["digest"]), c["doc"], c["span"], c["fp"])
         rows = np.concatenate([gone, kept])
         done = np.arange(len(rows)) < len(gone)
         out = {"done": done, **{k: c[k][rows] for k in ("fp", "digest", "doc", "span")}}
@@ -114,7 +139,7 @@ def _compare_runs(batches: Iterator) -> Iterator:
         c = {k: v[many] for k, v in c.items()}
         if not len(c["fp"]):
             return
-        gone, first = later(c["fp"] * np.int64(0x2545F491) ^ c["digest"], c["doc"], c["span"])
+        gone, first = later(same_run(c["fp"], c["digest"]), c["doc"], c["span"], c["fp"])
         fps, inverse, times = np.unique(c["fp"][first], return_inverse=True, return_counts=True)
         check = first[times[inverse] > 1]
         rows = np.concatenate([gone, check])
@@ -273,7 +298,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc, lo, hi): ranges of starts of windows that also start earlier."""
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     runs = texts.filter(F.octet_length("text") >= WINDOW).mapInArrow(tidied(_find_runs), "done boolean, fp long, digest long, doc long, span long")
     judged = saved(runs.repartition("fp").sortWithinPartitions("fp").mapInArrow(tidied(_compare_runs), "doc long, span long, check boolean"), "runs")
     release(spark)
@@ -287,11 +312,20 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return whole.unionByName(merged)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, number, text): integer ids are their own numbers, others get numbers that rise in their order."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return rows.withColumn("number", F.col("id").cast("long"))
+    places = saved(rows.select("id").filter("id is not null").distinct().orderBy("id").withColumn("number", F.monotonically_increasing_id()), "places")
+    return rows.join(places, "id", "left")
+
+
 def exact_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed ranges) and kept_sha256 of every row."""
-    found = repeated_windows(docs, id_col, text_col).groupBy(F.col("doc").alias("own")).agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    rows = numbered(docs, id_col, text_col)
+    found = repeated_windows(rows, "number", "text").groupBy(F.col("doc").alias("own")).agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     found = found.select("own", F.col("r.lo").alias("los"), F.col("r.hi").alias("his"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(found.hint("shuffle_hash"), F.col("id").cast("long") == F.col("own"), "left").select("id", "text", "los", "his")
+    joined = rows.join(found.hint("shuffle_hash"), F.col("number") == F.col("own"), "left").select("id", "text", "los", "his")
     return joined.mapInArrow(tidied(_strip), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

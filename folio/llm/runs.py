@@ -16,6 +16,8 @@ from folio.llm.shingles import byte_codes, mix, powers
 
 WINDOW = 100
 GRAM = 36
+#: Bytes of one text worked on at once.
+PART = 1 << 20
 
 
 @cache
@@ -27,8 +29,39 @@ def _sums(raw: np.ndarray, codes: np.ndarray, up: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[raw] * up[: len(raw)])])
 
 
-def anchored_runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of all texts: text number, lo and hi (inclusive window starts), anchor, fp (of the anchor) and digest (of the run's bytes)."""
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def anchored_runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM, part: int = PART) -> dict[str, np.ndarray]:
+    """Runs of all texts: text number, lo and hi (inclusive window starts), anchor, fp (of the anchor) and digest (of the run's bytes).
+
+    A text longer than part is worked on in overlapping parts; a run at their border becomes two.
+    """
+    found = [_runs([], window, gram)]
+    some: list[bytes] = []
+    first = 0
+
+    def close(upto: int) -> None:
+        nonlocal some, first
+        if some:
+            runs = _runs(some, window, gram)
+            found.append({**runs, "text": runs["text"] + first})
+        some, first = [], upto
+
+    for i, text in enumerate(texts):
+        if len(text) <= part:
+            some.append(text)
+            continue
+        close(i + 1)
+        for at in range(0, len(text) - window + 1, part):
+            runs = _runs([text[at : at + part + window - 1]], window, gram)
+            found.append({**runs, "text": runs["text"] + i, **{k: runs[k] + at for k in ("lo", "hi", "anchor")}})
+    close(len(texts))
+    return _joined(found)
+
+
+def _runs(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"".join(texts), np.uint8)
     n = len(raw) - gram + 1

@@ -12,6 +12,8 @@ from functools import cache
 import numpy as np
 
 SIZE = 5
+#: Bytes hashed at once; powers are kept for so many.
+BLOCK = 1 << 16
 #: ASCII control characters and punctuation become spaces.
 BLANK = bytes(32 if b < 32 or b == 127 or chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 _ODD = 0x9E3779B97F4A7C15
@@ -27,16 +29,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    base = np.full(n, _ODD, np.uint64)
-    inverse = np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
+def block_powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first BLOCK powers of an odd number and of its inverse, modulo 2**64."""
+    base, inverse = np.full(BLOCK, _ODD, np.uint64), np.full(BLOCK, pow(_ODD, -1, 1 << 64), np.uint64)
     base[0] = inverse[0] = 1
     return np.cumprod(base), np.cumprod(inverse)
 
 
+def block_factors(k: int) -> tuple[np.uint64, np.uint64]:
+    """What the powers of block k have before those of block 0."""
+    return np.uint64(pow(_ODD, k * BLOCK, 1 << 64)), np.uint64(pow(_ODD, -k * BLOCK, 1 << 64))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+    """The first n powers; nothing of them is kept."""
+    factors = np.array([block_factors(k) for k in range(-(-n // BLOCK))], np.uint64).reshape(-1, 2)
+    up, down = block_powers()
+    return (factors[:, :1] * up).ravel()[:n], (factors[:, 1:] * down).ravel()[:n]
 
 
 @cache
@@ -49,21 +58,35 @@ def normalised(text: str | None) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(BLANK).split()) if text else b""
 
 
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of bytes that end in a space; block by block, so only words are held."""
+    up, down = block_powers()
+    codes = byte_codes()
+    carry = np.uint64(0)
+    before, after, at, back = [np.zeros(1, np.uint64)], [np.zeros(1, np.uint64)], [np.full(1, -1)], [np.ones(1, np.uint64)]
+    for k, lo in enumerate(range(0, len(raw), BLOCK)):
+        some = raw[lo : lo + BLOCK]
+        factor, inverse = block_factors(k)
+        step = codes[some] * up[: len(some)]
+        total = np.cumsum(step) * factor + carry
+        carry = total[-1]
+        gap = np.nonzero(some == 32)[0]
+        before.append(total[gap] - step[gap] * factor)  # sums up to a gap, without and with it
+        after.append(total[gap])
+        at.append(gap + lo)
+        back.append(down[gap] * inverse)  # a word begins one place on
+    before, after, at, back = map(np.concatenate, (before, after, at, back))
+    back[1:] *= np.uint64(pow(_ODD, -1, 1 << 64))
+    full = np.nonzero(at[:-1] + 1 < at[1:])[0]
+    return at[full] + 1, mix((before[full + 1] - after[full]) * back[full])
+
+
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every shingle of normalised texts, in order of place."""
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if not len(texts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(len(raw))
-    total = np.cumsum(byte_codes()[raw] * up[: len(raw)])
-    gap = raw == 32
-    ends = np.nonzero(gap)[0]
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    full = starts < ends
-    starts, ends = starts[full], ends[full]
-    before = np.where(starts > 0, total[np.maximum(starts, 1) - 1], np.uint64(0))
-    words = mix((total[ends - 1] - before) * down[starts])
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    starts, words = word_hashes(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
     doc = np.searchsorted(np.cumsum(sizes), starts, "right")
     count = np.bincount(doc, minlength=len(texts))
     out = np.zeros(len(words), np.uint64)
