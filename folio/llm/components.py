@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.storage import saved
+from folio.llm.storage import Scratch, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b); a component is its smallest node.
+    """(node, component) for every node of edges (a, b); a component is its smallest node."""
+    with Scratch(edges.sparkSession, "contraction") as scratch:
+        return saved(_contracted(edges, scratch.saved), "components")
+
+
+def _contracted(edges: DataFrame, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The components, by contraction.
 
     Each round hooks a node to its smallest neighbour below it and to where that
     one is hooked, and keeps only the distinct edges between what is left, until
@@ -31,4 +39,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for later in maps[1:]:
         later = later.select(F.col("node").alias("component"), F.col("component").alias("far"))
         out = out.join(later, "component", "left").select("node", F.coalesce("far", "component").alias("component"))
-    return saved(out, "components")
+    return out

@@ -11,11 +11,14 @@
    different components meet, so a link between two texts that share a bucket
    can only be left out where the two are connected already.
 
-Sketches spare texts a comparison when their estimated similarity is so far
-below the threshold that chance is out of the question (see ``SKETCH_GAP``).
+A bucket of many members is dealt out in parts with its leader, and a leader's
+text travels once to every part, not to every member.  Sketches spare texts a
+comparison when their estimated similarity is so far below the threshold that
+chance is out of the question (see ``SKETCH_GAP``; None compares all).
 
 Null texts and texts without words are classes of their own, and rows with a
-null id have a null class.  Rows that share an id are one document.
+null id have a null class.  Rows that share an id are one document.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from folio.llm.bagminhash import signatures
 from folio.llm.batches import bound_batches, text_slices, tidied
 from folio.llm.components import connected_components
 from folio.llm.shingles import mix, multisets, normalised, shingles, similarity
-from folio.llm.storage import saved
+from folio.llm.storage import Scratch, saved
 
 THRESHOLD = 0.8
 #: At similarity 0.8 a pair shares none of the bands with probability 3e-6.
@@ -40,10 +43,12 @@ BANDS, ROWS = 32, 5
 SKETCH_WORDS, SKETCH_GAP = 5, 61
 #: Rounds of leaders before groups are compared in blocks of so many documents and bytes at most, so many shingles at once.
 ROUNDS = 2
-BLOCK, BLOCK_BYTES, COLUMNS = 512, 2_000_000, 8192
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 4_000_000, 2048
 SLICE_CHARS = 1_000_000
-#: So many ids are broadcast at most (16 bytes each); beyond, the texts are shuffled to them.
-BROADCAST_IDS = 1_000_000
+#: Members of a bucket, or of one leader's pairs, that go to one task with the leader.
+PART = 500
+#: So many ids are broadcast at most; beyond, the texts are shuffled to them.
+BROADCAST_IDS = 250_000
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:
@@ -76,59 +81,91 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(tidied(run), f"id {kind}, key binary, bands array<long>, sketch array<long>")
 
 
-def alike(a: str, b: str) -> Column:
+def alike(a: str, b: str, gap: int | None) -> Column:
     """Whether two sketches leave the threshold possible."""
+    if gap is None:
+        return F.lit(True)
     words = (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS))
-    return sum(words, F.lit(0)) <= SKETCH_GAP
+    return sum(words, F.lit(0)) <= gap
 
 
-def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(id, text) of the ids."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    return saved(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidates")
+    return scratch.saved(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidates")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least the threshold of weighted Jaccard."""
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose texts have at least the threshold of weighted Jaccard.
+
+    The pairs of one a are dealt out in parts; each part's rows arrive sorted,
+    the text of a first, then those of its bs, and are compared as they pass.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), id_col, text_col)
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), id_col, text_col, scratch)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
+    dealt = pairs.join(parts, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("part"), "b")
+    dealt = scratch.saved(dealt, "dealt")
+    firsts = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast(kind).alias("b"), "text")
+    others = dealt.join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "text")
+    rows = firsts.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
+        group, leaders, seen = None, [], set()
         for batch in batches:
+            texts = batch["text"].tolist()
+            first, others = batch["b"].isna().tolist(), batch["b"].to_numpy()
+            groups = list(zip(batch["a"].tolist(), batch["part"].tolist(), strict=True))
             keep = []
-            lefts, rights = batch["text_a"].tolist(), batch["text_b"].tolist()
-            for lo, hi in text_slices([x + y for x, y in zip(lefts, rights, strict=True)], SLICE_CHARS):
-                number: dict[str, int] = {}
-                for t in (*lefts[lo:hi], *rights[lo:hi]):
-                    number.setdefault(t, len(number))
-                doc, h, n = multisets(*shingles([normalised(t) for t in number]))
+            for lo, hi in text_slices(texts, SLICE_CHARS):
+                words = [normalised(t) for t in texts[lo:hi]]
+                doc, h, n = multisets(*shingles(words))
                 order = np.lexsort((h, doc))
-                doc, h, n = doc[order], h[order], n[order]
-                at = np.searchsorted(doc, np.arange(len(number) + 1))
-                part = lambda t: (h[at[number[t]] : at[number[t] + 1]], n[at[number[t]] : at[number[t] + 1]])  # noqa: E731, B023
-                keep += [similarity(part(x), part(y)) >= threshold for x, y in zip(lefts[lo:hi], rights[lo:hi], strict=True)]
-            yield batch[["a", "b"]][np.array(keep, bool)]
-
-    return saved(met.select("a", "b", "text_a", "text_b").mapInPandas(tidied(run), f"a {kind}, b {kind}").distinct(), "edges")
-
-
-def _mixed(shared: DataFrame, found: DataFrame | None) -> DataFrame:
+                h, n = h[order], n[order]
+                at = np.searchsorted(doc, np.arange(hi - lo + 1))
+                for k in range(hi - lo):
+                    own = h[at[k] : at[k + 1]], n[at[k] : at[k + 1]]
+                    if groups[lo + k] != group:
+                        group, leaders, seen = groups[lo + k], [], set()
+                    if first[lo + k]:
+                        if words[k] not in seen:  # rows that share an id may hold several texts
+                            seen.add(words[k])
+                            leaders.append(tuple(x.copy() for x in own))
+                    elif any(similarity(x, own) >= threshold for x in leaders):
+                        keep.append(lo + k)
+            if keep:
+                yield pd.DataFrame({"a": [groups[k][0] for k in keep], "b": others[keep]})
+
+    edges = scratch.saved(rows.mapInPandas(tidied(run), f"a {kind}, b {kind}").distinct(), "edges")
+    scratch.drop(texts, dealt)
+    return edges
+
+
+def _mixed(shared: DataFrame, found: DataFrame | None, scratch: Scratch) -> DataFrame:
     """The buckets' members with their components, of buckets that hold several components."""
     if found is None:
         return shared.withColumn("component", F.col("rep"))
-    members = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = scratch.saved(shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
     mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    return saved(members.join(mixed, "band", "left_semi"), "mixed")
+    out = scratch.saved(members.join(mixed, "band", "left_semi"), "mixed")
+    scratch.drop(members)
+    return out
+
 
+def _leader_pairs(members: DataFrame, turn: int, gap: int | None) -> DataFrame:
+    """(a, b): each bucket's leader of this turn with the members of other components.
 
-def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each bucket's leader of this turn with the members of other components."""
+    A bucket's n members are dealt out in parts, of which each gets the leader.
+    """
+    parts = F.ceil(F.col("n") / PART).cast("int")
     order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    leaders = members.groupBy("band").agg(F.min(F.struct(order.alias("order"), "rep", "sketch", "component")).alias("l"))
-    joined = members.join(leaders, "band").filter(F.col("component") != F.col("l.component"))
-    joined = joined.select("rep", "sketch", F.col("l.rep").alias("leader"), F.col("l.sketch").alias("leader_sketch")).filter(alike("sketch", "leader_sketch"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    least = F.min(F.struct(order.alias("order"), "rep", "sketch", "component")).alias("l")
+    leaders = members.groupBy("band", "part", "n").agg(least).groupBy("band", "n").agg(F.min("l").alias("l"))
+    leaders = leaders.select("band", "l", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    joined = members.join(leaders, ["band", "part"]).filter(F.col("component") != F.col("l.component"))
+    joined = joined.select("rep", "sketch", F.col("l.rep").alias("leader"), F.col("l.sketch").alias("leader_sketch")).filter(alike("sketch", "leader_sketch", gap))
     return joined.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
 
 
@@ -189,18 +226,35 @@ def block_links(texts: list[str], left: np.ndarray, right: np.ndarray, threshold
     return forest(a[ok], b[ok])
 
 
-def _group_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Links (a, b) that connect what is linked within the groups of the members' buckets."""
+def _group_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect what is linked within the groups of the members' buckets.
+
+    A group's members are cut into blocks, and blocks meet in pairs.  A large
+    component has blocks of its own, which do not meet each other: its members
+    are connected already.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     lows = members.groupBy("band").agg(F.min("rep").alias("a"))
     groups = connected_components(members.select("band", F.col("rep").alias("b")).join(lows, "band").select("a", "b"))
-    texts = _texts(docs, groups.select(F.col("node").alias("id")), id_col, text_col)
+    groups = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
+    texts = _texts(docs, groups.select("id"), id_col, text_col, scratch)
     bytes_ = texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    sizes = groups.join(bytes_, groups["node"] == bytes_["id"], "left").groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
-    dealt = groups.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = saved(dealt.select(F.col("component").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("id")), "blocks")
+    nodes = groups.join(members.select(F.col("rep").alias("id"), "component").distinct(), "id").join(bytes_, "id", "left")
+    nodes = scratch.saved(nodes.select("id", "g", "component", F.coalesce("bytes", F.lit(0)).alias("bytes")), "nodes")
+    sizes = nodes.groupBy("g", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    large = (F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)
+    sizes = sizes.select("g", "component", "n", "bytes", F.when(large, F.col("component")).alias("own"))
+    count = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    blocks = sizes.groupBy("g", "own").agg(count.alias("blocks")).withColumnsRenamed({"g": "g2", "own": "own2"})
+    place = sizes.join(blocks, (F.col("g") == F.col("g2")) & F.col("own").eqNullSafe(F.col("own2"))).select("g", "component", "own", "blocks")
+    dealt = nodes.join(place, ["g", "component"]).select("id", "g", "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("k"))
+    dealt = scratch.saved(dealt.withColumn("block", F.xxhash64("own", "k")), "blocks")
+    each = dealt.select("g", "own", "block").distinct()
+    other = each.select("g", F.col("own").alias("own2"), F.col("block").alias("j"))
+    met = each.withColumnRenamed("block", "i").join(other, "g").filter((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False)))
+    met = scratch.saved(met.select("g", "i", "j"), "met")
+    sides = met.select("g", "i", "j", F.col("i").alias("block")).union(met.filter("i < j").select("g", "i", "j", F.col("j").alias("block")))
+    placed = dealt.select("g", "block", "id").join(sides, ["g", "block"]).select("g", "i", "j", "block", "id")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         left = np.nonzero((rows["block"] == rows["i"]).to_numpy())[0]
@@ -209,36 +263,49 @@ def _group_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
         found = block_links(rows["text"].tolist(), left, right, threshold)
         return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]})
 
-    return saved(dealt.join(texts, "id").groupBy("g", "i", "j").applyInPandas(link, f"a {kind}, b {kind}"), "edges")
+    return scratch.saved(placed.join(texts, "id").groupBy("g", "i", "j").applyInPandas(link, f"a {kind}, b {kind}"), "edges")
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sketch_gap: int | None = SKETCH_GAP) -> DataFrame:
+    """id, class_id (the smallest id of its near duplicates) and kept (whether it is that document).
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, class_id (the smallest id of its near duplicates) and kept (whether it is that document)."""
+    What is left behind in the shared folder is the table of ids and classes
+    that the result reads.
+    """
     bound_batches(docs.sparkSession)
-    sig = saved(signed(docs, id_col, text_col), "signatures")
-    reps = saved(sig.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    with Scratch(docs.sparkSession, "near-duplicates") as scratch:
+        by_id = saved(_classes(docs, id_col, text_col, threshold, sketch_gap, scratch), "near-duplicate-classes")
+    nameless = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"))
+    return by_id.unionByName(nameless).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, gap: int | None, scratch: Scratch) -> DataFrame:
+    """(id, class_id) of every row with an id."""
+    sig = scratch.saved(signed(docs, id_col, text_col), "signatures")
+    reps = scratch.saved(sig.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = reps.select("rep", "sketch", F.explode("bands").alias("band"))
-    several = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("band")
-    shared = saved(banded.join(several, "band"), "buckets")
+    several = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low < high").select("band", "n")
+    shared = scratch.saved(banded.join(several, "band"), "buckets")
     edges = met = found = None
     for turn in range(ROUNDS):
-        pairs = _leader_pairs(_mixed(shared, found), turn)
-        pairs = saved(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs")
+        members = _mixed(shared, found, scratch)
+        pairs = _leader_pairs(members, turn, gap)
+        pairs = scratch.saved(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs")
+        if turn:
+            scratch.drop(members)
         if pairs.isEmpty():
             break
-        new = verified(pairs, docs, id_col, text_col, threshold)
+        new = verified(pairs, docs, id_col, text_col, threshold, scratch)
         edges = new if edges is None else edges.unionByName(new)
         met = pairs if met is None else met.unionByName(pairs)
         found = connected_components(edges)
-    members = _mixed(shared, found)
+    members = _mixed(shared, found, scratch)
     if edges is not None and not members.isEmpty():
-        found = connected_components(edges.unionByName(_group_links(members, docs, id_col, text_col, threshold)))
+        found = connected_components(edges.unionByName(_group_links(members, docs, id_col, text_col, threshold, scratch)))
     if found is None:
         found = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     classes = reps.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"))
-    by_id = sig.select("id", "key").join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    nameless = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"))
-    return by_id.unionByName(nameless).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return sig.select("id", "key").join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
