@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.llm.ann import nearest
 from folio.llm.decontaminate import leak_pairs
@@ -55,7 +56,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+    return nearest(vectors, F.expr("vec_id % 100 = 0"), k=10)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
