@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from folio.llm.ann import nearest
 from folio.llm.components import connected_components
 from folio.llm.decontaminate import leak_pairs, without_leaks
 from folio.llm.exact_repeats import exact_repeats
-from folio.llm.language import identify_languages, without_unknown
+from folio.llm.language import identify_languages, learn_profiles, without_unknown
 from folio.llm.near_dup import near_duplicates, without_near_duplicates
 from folio.llm.pieces import decode_pieces, encode_pieces, piece_digest
 from folio.llm.pii import pii_report, redact
@@ -53,6 +54,10 @@ def test_languages(docs, empty):
     assert got[3].lang_pred == got[4].lang_pred == got[8].lang_pred == "und" and got[8].score == 0.0
     assert got[6].lang_pred == "fr" and got[1].lang_pred == "en" and 0 < got[1].score <= 1
     assert identify_languages(empty).count() == 0
+    odd = docs.sparkSession.createDataFrame([(i, t, "en") for i, t in enumerate(["😀😀😀 🎉", "𝟙𝟚", "漢字", "the fox"])], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in identify_languages(odd).orderBy("doc_id").collect()] == ["und", "und", "en", "en"]
+    with pytest.raises(ValueError, match="distinct languages"):
+        learn_profiles(docs, max_languages=1)
     kept = without_unknown(docs, 0.05)
     assert kept.columns == docs.columns and {3, 4, 8}.isdisjoint({r.doc_id for r in kept.select("doc_id").collect()})
 
@@ -85,6 +90,8 @@ def test_exact_repeats_against_brute_force(spark, docs, empty):
     df = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_repeats(df).collect()}
     assert got == _without_repeats([(i, (t or "").encode()) for i, t in texts])
+    named = df.select(F.format_string("d%09d", "doc_id").alias("doc_id"), "text")
+    assert {int(r.doc_id[1:]): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_repeats(named).collect()} == got
     odd = {r.doc_id: r for r in exact_repeats(docs).collect()}
     assert odd[2].n_removed == odd[1].n_bytes and odd[1].n_removed == 0 and odd[6].n_removed == 0 and odd[3].n_bytes == 0
     assert odd[7].n_removed == 199_999 and odd[7].n_spans == 1
@@ -164,6 +171,20 @@ def test_personal_data_against_brute_force(spark, docs, empty):
     assert [r.spans for r in pii_report(iban).orderBy("doc_id").collect()] == ["iban:8:35,ssn:41:52", ""]
 
 
+def test_personal_data_in_long_texts(spark):
+    numbers = " ,".join(str(10**12 + 7 * i) for i in range(100_000))
+    mails = "é😀 ".join(f"write to u{i}@x.org or +1 269 555 {i:04d}, call 269-555-{i:04d}" for i in range(3000))
+    df = spark.createDataFrame([(1, numbers), (2, mails)], "doc_id long, text string")
+    pii_report(df.limit(0)).collect()
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii_report(df).collect()}
+    text = next(r.text for r in redact(df.filter("doc_id = 2")).collect())
+    assert time.monotonic() - began < 30
+    assert got[1].spans == "" and (got[2].n_email, got[2].n_phone) == (3000, 3000)
+    assert got[2].base_sha256 == _base(mails) and got[2].spans.count("local_phone") == 3000
+    assert text == "é😀 ".join("write to <email> or <phone>, call <local_phone>" for _ in range(3000))
+
+
 def test_sharding(spark, docs, empty):
     rows = shard_report(docs).collect()
     assert len(rows) == 12 and {r.doc_id for r in rows} >= {1, 7, None} and sum(r.n_bytes for r in rows if r.doc_id == 3) == 0
@@ -180,12 +201,52 @@ def test_sharding(spark, docs, empty):
         store.commit(before, before.schema, [])
 
 
+def test_sharding_keeps_all_content_over_many_versions(spark, docs, monkeypatch):
+    monkeypatch.setattr("folio.llm.sharding.FULL_EVERY", 5)
+    store = ShardStore(spark, new_path(spark, "store"), target=40_000, fanout=2)
+    plain = docs.drop("text_in")
+    versions = []
+    for _ in range(7):
+        versions.append(store.append(plain.repartition(3)))
+        versions.append(store.compact(keep_old=True))
+    assert store.manifest() == versions[-1] and versions[-1].version > 10  # read across full and partial lists
+    assert len(versions[-1].shards) < 21
+    rows = lambda df: sorted(map(repr, df.select(*sorted(plain.columns)).collect()))
+    assert rows(store.rows()) == sorted(rows(plain) * 7) and rows(store.rows(versions[0])) == rows(plain)
+    listed = sorted((r.doc_id or 0, r.n_bytes) for r in shard_report(docs, target=2000, arrivals=3).collect())
+    assert listed == sorted((r.doc_id or 0, len((r.text or "").encode())) for r in docs.collect())
+
+
 def test_nearest(spark):
     rows = [(i, [float(i), 1.0], "c") for i in range(30)] + [(100, [0.0, 0.0], "z"), (200, None, "n"), (300, [1.0, None], "n"), (400, [float("nan"), 1.0], "n"), (None, [1.0, 1.0], "n"), (5, [5.0, 1.0], "again"), (600, [1.0, 2.0, 3.0], "d")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
-    got = nearest(df, df.filter("vec_id % 10 = 0"), k=3).filter("query_id = 10").orderBy("rank").collect()
+    got = nearest(df, F.expr("vec_id % 10 = 0"), k=3).filter("query_id = 10").orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(9, 1.0), (11, 1.0), (8, 2.0)]
-    assert nearest(df, df.filter("vec_id = 600")).count() == 0 and nearest(df.limit(0), df).count() == 0
+    twice = nearest(df, F.expr("vec_id = 5"), k=2).orderBy("rank", "vec_id").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in twice] == [(1, 5, 0.0), (1, 5, 0.0), (2, 4, 1.0), (2, 4, 1.0)]
+    assert nearest(df, F.expr("vec_id = 600")).count() == 0 and nearest(df.limit(0), F.lit(True)).count() == 0
+    foreign = nearest(df, df.filter("vec_id = 10"), k=1).collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in foreign] == [(10, 10, 0.0)]
+
+
+def test_nearest_recall_over_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 24)) * 3
+    x = np.concatenate([centres[rng.integers(0, 30, 2500)] + rng.standard_normal((2500, 24)), np.repeat(centres[:1], 200, axis=0), rng.standard_normal((300, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.expr("vec_id % 20 = 0"), k=10, block_rows=256).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    hits = 0
+    for q in range(0, len(x), 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = sorted(found[q])
+        assert [rank for rank, *_ in own] == list(range(1, 11)) and all(abs(d[v] - s) < 1e-9 for _, s, v in own)
+        assert [(s, v) for _, s, v in own] == sorted((s, v) for _, s, v in own)
+        hits += sum(s <= np.sort(d)[9] + 1e-9 for _, s, _ in own)
+    assert hits / (10 * len(range(0, len(x), 20))) >= 0.9
 
 
 def test_url_filter(spark):
@@ -206,11 +267,15 @@ def test_pieces(docs, empty):
 
 
 def test_decontamination(spark, docs, empty):
-    bench = spark.createDataFrame([(1, "while seven wizards boil strange soup near an old bridge"), (2, None), (3, "tiny"), (None, PROSE), (4, "Seven WIZARDS, boil strange soup near; an old stone")], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id) for r in leak_pairs(docs, bench).collect())
-    assert got == [(d, 4) for d in (1, 2, 5, 10)]
+    bench = spark.createDataFrame([(1, "while seven wizards boil strange soup near an old bridge"), (2, None), (3, "wizards"), (5, "izards"), (None, PROSE), (4, "Seven WIZARDS, boil strange soup near; an old stone"), (4, "Seven WIZARDS, boil strange soup near; an old stone"), (6, "!!")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in leak_pairs(docs, bench).collect())
+    assert got == [(d, i, 0) for d in (1, 2, 5, 10) for i in (3, 4)]
     wide = leak_pairs(docs, bench, error_rate=0.15, block_bytes=100).collect()
-    assert {(r.doc_id, r.item_id) for r in wide} == {(d, i) for d in (1, 2, 5, 10) for i in (1, 4)}
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in wide) == sorted((d, i, n) for d in (1, 2, 5, 10) for i, n in ((1, 5), (3, 0), (4, 0)))
     kept = without_leaks(docs, bench)
     assert kept.columns == docs.columns and kept.count() == 8
     assert leak_pairs(empty, bench).count() == 0 and leak_pairs(docs, bench.limit(0)).count() == 0
+    named = bench.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text")
+    assert {r.item_id for r in leak_pairs(docs, named).collect()} == {"i3", "i4"}
+    long = spark.createDataFrame([(1, ("lorem ipsum " * 40_000 + "seven wizards boil strange soup near an old stone ") * 3)], "doc_id long, text string")
+    assert [(r.item_id, r.distance) for r in leak_pairs(long, bench).orderBy("item_id").collect()] == [(3, 0), (4, 0)]
