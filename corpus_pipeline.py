@@ -47,7 +47,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(docs.select("doc_id", "lang", "source", "text"), path, check_col="round_trip")
+    encoded = encode_pieces(docs, path, check_col="round_trip", keep=["doc_id", "lang", "source"])
     return encoded.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
 
 
