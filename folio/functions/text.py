@@ -101,3 +101,16 @@ def banned_next(ids: Column, n: int = 3) -> Column:
     starts = F.when(F.size(ids) >= n, F.sequence(F.lit(1), F.size(ids) - (n - 1))).otherwise(F.array().cast("array<int>"))
     hits = F.filter(starts, lambda i: F.slice(ids, i, F.lit(n - 1)) == last)
     return F.transform(hits, lambda i: F.element_at(ids, i + (n - 1)))
+
+
+def shell_quoted(value: Column) -> Column:
+    """value as one word of a POSIX shell; plain words stay."""
+    quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    return F.when(value.rlike(r"\A[A-Za-z0-9_@%+=:,./-]+\z"), value).otherwise(quoted)
+
+
+def detector_choice(value: Column) -> Column:
+    """(kind, folder) of ``onnx``, ``mock`` or ``replay:FOLDER``; nulls for anything else."""
+    folder = F.when(value.startswith("replay:") & (F.length(value) > 7), F.substring(value, F.lit(8), F.length(value)))
+    kind = F.when(value.isin("onnx", "mock"), value).when(folder.isNotNull(), "replay")
+    return F.struct(kind.alias("kind"), folder.alias("folder"))

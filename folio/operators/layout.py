@@ -41,6 +41,13 @@ def page_language(df: DataFrame) -> DataFrame:
     return df.select("page_id").distinct().join(best, "page_id", "left")
 
 
+def apply_page_language(df: DataFrame, setting: str = "detect_page") -> DataFrame:
+    """Every box's language becomes its page's, null where no box's is known; other settings leave the boxes alone."""
+    if setting != "detect_page":
+        return df
+    return df.join(page_language(df), "page_id").withColumn("lang", F.col("page_lang")).drop("page_lang")
+
+
 def is_right_to_left(order: str, page_lang: Column) -> Column:
     return {"manga": F.lit(True), "comic": F.lit(False)}.get(order, F.coalesce(page_lang == "japanese", F.lit(False)))
 
@@ -131,10 +138,11 @@ def resolve_total_overlaps(df: DataFrame) -> DataFrame:
     return merge_by_anchor(df, g.overlaps_center)
 
 
-def preprocess(df: DataFrame, order: str = "auto") -> DataFrame:
-    """Filter, merge by centres, pad, order and reference boxes of every page."""
+def preprocess(df: DataFrame, order: str = "auto", language: str = "detect_box") -> DataFrame:
+    """Filter, give the page's language (if set so), merge by centres, pad, order and reference boxes of every page."""
     kept = boxed(df).filter(keep_box(F.col("r"), F.col("lang"))).drop("r")
     langs = page_language(kept)
+    kept = apply_page_language(kept, language)
     merged = resolve_total_overlaps(kept)
     tight = merged.withColumn("r", g.right_pad(g.pad(g.of(), TIGHT, CANVAS_W, CANVAS_H), TIGHT_RIGHT, CANVAS_W))
     tight = tight.select("page_id", "idx", "lang", "r.*").join(langs, "page_id")
@@ -240,6 +248,13 @@ best AS (SELECT page_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY pa
 SQL_LANGUAGE = with_views(_LANGS.format("blocks") + " SELECT p.page_id, b.lang AS page_lang, coalesce(b.lang = 'japanese', false) AS right_to_left FROM (SELECT DISTINCT page_id FROM blocks) p LEFT JOIN best b ON p.page_id = b.page_id", "blocks")
 
 
+def q_page_language_applied(spark, sf):
+    return apply_page_language(blocks(spark, sf)).select("page_id", "idx", "lang")
+
+
+SQL_APPLIED = with_views(_LANGS.format("blocks") + " SELECT k.page_id, k.idx, b.lang FROM blocks k LEFT JOIN best b ON k.page_id = b.page_id", "blocks")
+
+
 def q_reading_order(spark, sf):
     df = blocks(spark, sf).join(page_language(blocks(spark, sf)), "page_id")
     return reading_order(df, is_right_to_left("auto", F.col("page_lang"))).select("page_id", "idx", "place")
@@ -309,10 +324,10 @@ SELECT page_id, idx, CAST(row_number() OVER (PARTITION BY page_id ORDER BY (CASE
 
 QUERIES = {
     "geometry_scalars": q_geometry_scalars, "geometry_pairs": q_geometry_pairs, "resize_policy": q_resize_policy, "box_filter": q_box_filter,
-    "page_language": q_page_language, "reading_order": q_reading_order, "detector_candidates": q_detector_candidates, "nms": q_nms,
+    "page_language": q_page_language, "page_language_applied": q_page_language_applied, "reading_order": q_reading_order, "detector_candidates": q_detector_candidates, "nms": q_nms,
     "resolve_overlaps": lambda s, d: resolve_overlaps(blocks(s, d)), "resolve_total_overlaps": lambda s, d: resolve_total_overlaps(blocks(s, d)), "preprocess": q_preprocess,
 }
 ORACLES = {
-    "geometry_scalars": SQL_SCALARS, "geometry_pairs": SQL_PAIRS, "resize_policy": SQL_RESIZE, "box_filter": SQL_FILTER, "page_language": SQL_LANGUAGE, "reading_order": SQL_ORDER,
+    "geometry_scalars": SQL_SCALARS, "geometry_pairs": SQL_PAIRS, "resize_policy": SQL_RESIZE, "box_filter": SQL_FILTER, "page_language": SQL_LANGUAGE, "page_language_applied": SQL_APPLIED, "reading_order": SQL_ORDER,
     "detector_candidates": SQL_CAND, "nms": SQL_NMS, "resolve_overlaps": SQL_OVERLAPS, "resolve_total_overlaps": SQL_TOTAL, "preprocess": _preprocess_sql(),
 }

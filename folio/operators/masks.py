@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as g
-from folio.operators.raster import _SMALL, dilate, edge_pixels, kernel, rasterize, small_boxes
+from folio.operators.raster import _SMALL, edge_pixels, rasterize, small_boxes
 from folio.plans.profile import DEFAULTS, RULES
 from folio.sources.bridges import CANVAS_H, CANVAS_W, blocks, pixels, regions, with_views
 
@@ -45,16 +43,6 @@ def resolve_fallback(choice: Column, stds: Column, max_std: float = MAX_STD, ena
     return F.when(fits(choice["chosen"]) | ~F.lit(enabled), choice["chosen"]).when(fits(choice["lowest"]), choice["lowest"]).otherwise(choice["chosen"])
 
 
-def growth_candidates(mask: DataFrame, w: int, h: int, first: int = 4, step: int = 2, steps: int = 11) -> DataFrame:
-    """(page_id, x, y, candidate): the mask after each of the cumulative dilations."""
-    out, grown = None, mask
-    for i in range(steps):
-        grown = dilate(grown, kernel(first if i == 0 else step), w, h)
-        one = grown.withColumn("candidate", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # -- inpainting plans ---------------------------------------------------------------
 
 
@@ -87,7 +75,13 @@ def merge_rects(df: DataFrame) -> DataFrame:
 
     once = lambda boxes: F.aggregate(boxes, empty, absorb)
     first = F.aggregate("all", empty, lambda acc, s: absorb(acc, s["r"]))
-    settled = F.aggregate(F.sequence(F.lit(1), F.size("all")), first, lambda boxes, _: once(boxes))
+    state = lambda boxes, done: F.struct(boxes.alias("boxes"), done.alias("done"))
+
+    def again(s: Column, _: Column) -> Column:
+        after = F.transform(F.array(once(s["boxes"])), lambda b: state(b, F.size(b) == F.size(s["boxes"])))  # settled when nothing merged
+        return F.when(s["done"], s).otherwise(F.get(after, 0))
+
+    settled = F.aggregate(F.sequence(F.lit(1), F.size("all")), state(first, F.lit(False)), again, lambda s: s["boxes"])
     return pages.select("page_id", F.explode(settled).alias("m")).select("page_id", "m.*")
 
 
@@ -113,46 +107,6 @@ def owner_map(write: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
     return write.join(tiles.select("page_id", "tile", "tx", "ty"), "page_id").filter(on).groupBy("page_id", "x", "y").agg(F.min("tile").alias("tile"))
 
 
-# -- connected components --------------------------------------------------------------
-
-
-def label_components(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Labels from 1 of eight-connected pixels, in order of each component's first pixel by rows."""
-    place = {(a, b): i for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
-    parent = list(range(len(x)))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for (a, b), i in place.items():
-        for da, db in ((1, 0), (-1, 1), (0, 1), (1, 1)):
-            j = place.get((a + da, b + db))
-            if j is not None:
-                p, q = top(i), top(j)
-                parent[max(p, q)] = min(p, q)
-    roots = np.array([top(i) for i in range(len(x))], np.int64)
-    first: dict[int, int] = {}
-    for i in np.lexsort((x, y)):
-        first.setdefault(int(roots[i]), len(first) + 1)
-    return np.array([first[int(r)] for r in roots], np.int64)
-
-
-def connected_components(pixel_set: DataFrame) -> DataFrame:
-    """(page_id, x, y, label), one page per task call."""
-
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"])
-        return rows.assign(label=label_components(rows["x"].to_numpy(), rows["y"].to_numpy()))[["page_id", "x", "y", "label"]]
-
-    return pixel_set.select("page_id", "x", "y").groupBy("page_id").applyInPandas(label, "page_id long, x int, y int, label long")
-
-
-def component_boxes(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("page_id", "label").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("area"))
-
-
 # -- queries --------------------------------------------------------------------------
 
 
@@ -171,21 +125,6 @@ fast AS (SELECT page_id, arg_max(chosen, i) AS fast FROM (SELECT *, list_positio
 SELECT f.page_id, chosen, lowest, CASE WHEN std <= 15 THEN chosen WHEN low <= 15 THEN lowest ELSE chosen END AS resolved, fast FROM f JOIN fast USING (page_id) WHERE i + 1 = len(d)""", "blocks", "regions")
 
 
-def q_growth_candidates(spark, sf):
-    """Size and bounds of each growth candidate of the dark pixels, with its thickness."""
-    dark = pixels(spark, sf).filter("v < 6").select("page_id", "x", "y")
-    c = growth_candidates(dark, 24, 16, steps=4)
-    return c.groupBy("page_id", "candidate").agg(F.count("*").alias("area"), F.min("x").alias("x1"), F.max("y").alias("y2")).withColumn("thickness", 4 + 2 * F.col("candidate"))
-
-
-def _growth_sql() -> str:
-    values = lambda n: ", ".join(f"({dx}, {dy})" for dx, dy in kernel(n))
-    step = lambda a, k: f"SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM {a}, {k} WHERE x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 15"
-    return with_views(f""", k4(dx, dy) AS (VALUES {values(4)}), k2(dx, dy) AS (VALUES {values(2)}), g AS (SELECT page_id, x, y FROM pixels WHERE v < 6),
-c0 AS ({step('g', 'k4')}), c1 AS ({step('c0', 'k2')}), c2 AS ({step('c1', 'k2')}), c3 AS ({step('c2', 'k2')})
-SELECT page_id, CAST(c AS INTEGER) AS candidate, count(*) AS area, CAST(min(x) AS INTEGER) AS x1, CAST(max(y) AS INTEGER) AS y2, CAST(4 + 2 * c AS INTEGER) AS thickness FROM (SELECT 0 AS c, * FROM c0 UNION ALL SELECT 1, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3) GROUP BY page_id, c""", "pixels")
-
-
 def q_border_statistics(spark, sf):
     """Deviation and truncated median of the page's grey values along the border of each box, and whether the fit is accepted."""
     inside = rasterize(small_boxes(spark, sf), 24, 16)
@@ -257,38 +196,6 @@ o AS (SELECT w.page_id, w.x, w.y, min(tile) AS tile FROM w JOIN t ON w.page_id =
 SELECT page_id, CAST(tile AS INTEGER) AS tile, count(*) AS n, min(x) AS x FROM o GROUP BY page_id, tile""", "blocks", "pixels")
 
 
-def q_components(spark, sf):
-    """Components of the dark pixels with their boxes and areas, and the area below which holes are filled."""
-    c = component_boxes(connected_components(pixels(spark, sf).filter("v < 60")))
-    second = F.element_at(F.sort_array(F.collect_list("area"), asc=False), F.least(F.count("*"), F.lit(2)).cast("int"))
-    return c.join(c.groupBy("page_id").agg(second.alias("hole_limit")), "page_id")
-
-
-SQL_COMPONENTS = with_views(""", d AS (SELECT page_id, x, y, y * 24 + x AS id FROM pixels WHERE v < 60),
-r AS (SELECT page_id, id AS root, x, y, id FROM d UNION SELECT r.page_id, r.root, d.x, d.y, d.id FROM r JOIN d ON d.page_id = r.page_id AND abs(d.x - r.x) <= 1 AND abs(d.y - r.y) <= 1),
-m AS (SELECT page_id, id, min(root) AS root, any_value(x) AS x, any_value(y) AS y FROM r GROUP BY page_id, id),
-c AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY root) AS label, x, y FROM m),
-b AS (SELECT page_id, label, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS area FROM c GROUP BY page_id, label)
-SELECT *, (SELECT list_sort(list(a.area), 'DESC')[least(count(*), 2)] FROM b a WHERE a.page_id = b.page_id) AS hole_limit FROM b""", "pixels")
-
-
-def q_undetected(spark, sf):
-    """Larger components that no box holds to at least half; the first one of a page is passed over."""
-    c = component_boxes(connected_components(pixels(spark, sf).filter("v < 60"))).filter("area > 5")
-    b = small_boxes(spark, sf).select("page_id", g.of().alias("s"))
-    j = c.withColumn("r", g.of()).join(b, "page_id", "left")
-    best = j.groupBy("page_id", "label", "r").agg(F.max(F.coalesce(g.intersection_area(F.col("r"), F.col("s")), F.lit(-1))).alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("label"))
-    return best.withColumn("rank", rank).filter((F.col("rank") > 1) & (F.col("shared") / g.area(F.col("r")) < 0.5)).select("page_id", "label", "shared")
-
-
-SQL_UNDETECTED = SQL_COMPONENTS.split("SELECT *, (SELECT list_sort")[0] + _SMALL + """,
-j AS (SELECT b.page_id, b.label, (b.x2 - b.x1) * (b.y2 - b.y1) AS a, max(coalesce(CASE WHEN least(b.y2, s.y2) < greatest(b.y1, s.y1) OR least(b.x2, s.x2) < greatest(b.x1, s.x1) THEN -1 ELSE (least(b.y2, s.y2) - greatest(b.y1, s.y1)) * (least(b.x2, s.x2) - greatest(b.x1, s.x1)) END, -1)) AS shared
- FROM b LEFT JOIN boxes s ON s.page_id = b.page_id WHERE area > 5 GROUP BY b.page_id, b.label, a)
-SELECT page_id, label, CAST(shared AS BIGINT) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY label) AS k FROM j) WHERE k > 1 AND shared / a::DOUBLE < 0.5"""
-SQL_UNDETECTED = SQL_UNDETECTED.replace("WITH RECURSIVE ", "WITH RECURSIVE " + with_views(" x", "blocks").removeprefix("WITH RECURSIVE ").removesuffix(" x") + ", ")
-
-
 def q_profile_violations(spark, sf):
     """Rules that variants of the default profile break, all in the order of the rules, and the first."""
     variants = [(i, key, value) for i, (key, value) in enumerate([("overlap", 120.0), ("max_std", 0.0), ("improvement", 1.0), ("window", 4.0), ("max_radius", 3.0), ("aspect", float("nan")), ("overlap", 20.0)])]
@@ -299,13 +206,20 @@ def q_profile_violations(spark, sf):
     return df.withColumn("broken", broken).select(F.col("variant").cast("int").alias("variant"), F.array_join("broken", ",").alias("violations"), F.get("broken", 0).alias("first"), F.array_join(changed, ",").alias("changed"))
 
 
-SQL_PROFILE = "SELECT * FROM (VALUES (0, 'overlap', 'overlap', 'overlap'), (1, 'max_std', 'max_std', 'max_std'), (2, 'improvement', 'improvement', 'improvement'), (3, 'window', 'window', 'window'), (4, 'radius', 'radius', 'max_radius'), (5, 'aspect', 'aspect', 'aspect'), (6, '', NULL, '')) AS t(variant, violations, first, changed)"
+# Defaults, variants and rules stated again; a rule with something that is not a number is broken.
+SQL_PROFILE = """WITH v(variant, key, value) AS (VALUES (0, 'overlap', 120.0::DOUBLE), (1, 'max_std', 0.0), (2, 'improvement', 1.0), (3, 'window', 4.0), (4, 'max_radius', 3.0), (5, 'aspect', 'nan'::DOUBLE), (6, 'overlap', 20.0)),
+p AS (SELECT variant, key, value, CASE WHEN key = 'overlap' THEN value ELSE 20.0 END AS overlap, CASE WHEN key = 'aspect' THEN value ELSE 0.33 END AS aspect, CASE WHEN key = 'max_std' THEN value ELSE 15.0 END AS max_std,
+ CASE WHEN key = 'improvement' THEN value ELSE 0.1 END AS improvement, CASE WHEN key = 'window' THEN value ELSE 7.0 END AS win, CASE WHEN key = 'max_radius' THEN value ELSE 20.0 END AS max_radius FROM v),
+r AS (SELECT variant, concat_ws(',', CASE WHEN NOT overlap BETWEEN 0 AND 100 THEN 'overlap' END, CASE WHEN isnan(aspect) OR NOT aspect > 0 THEN 'aspect' END, CASE WHEN isnan(max_std) OR NOT max_std > 0 THEN 'max_std' END,
+ CASE WHEN NOT (improvement >= 0 AND improvement < 1) THEN 'improvement' END, CASE WHEN NOT (win >= 3 AND win % 2 = 1) THEN 'window' END, CASE WHEN NOT max_radius >= 7 THEN 'radius' END) AS violations,
+ CASE WHEN key = 'overlap' AND value = 20.0 THEN '' ELSE key END AS changed FROM p)
+SELECT variant, violations, CASE WHEN violations <> '' THEN string_split(violations, ',')[1] END AS first, changed FROM r"""
 
 QUERIES = {
-    "candidate_selection": q_candidate_selection, "growth_candidates": q_growth_candidates, "border_statistics": q_border_statistics, "inpaint_eligible": q_inpaint_eligible, "denoise_regions": q_denoise_regions, "merge_rects": q_merge_rects,
-    "tile_windows": q_tile_windows, "owner_map": q_owner_map, "components": q_components, "undetected_blocks": q_undetected, "profile_violations": q_profile_violations,
+    "candidate_selection": q_candidate_selection, "border_statistics": q_border_statistics, "inpaint_eligible": q_inpaint_eligible, "denoise_regions": q_denoise_regions, "merge_rects": q_merge_rects,
+    "tile_windows": q_tile_windows, "owner_map": q_owner_map, "profile_violations": q_profile_violations,
 }
 ORACLES = {
-    "candidate_selection": SQL_SELECT, "growth_candidates": _growth_sql(), "border_statistics": SQL_BORDER, "inpaint_eligible": SQL_ELIGIBLE, "denoise_regions": SQL_DENOISE, "merge_rects": SQL_MERGE_RECTS,
-    "tile_windows": SQL_TILES, "owner_map": SQL_OWNER, "components": SQL_COMPONENTS, "undetected_blocks": SQL_UNDETECTED, "profile_violations": SQL_PROFILE,
+    "candidate_selection": SQL_SELECT, "border_statistics": SQL_BORDER, "inpaint_eligible": SQL_ELIGIBLE, "denoise_regions": SQL_DENOISE, "merge_rects": SQL_MERGE_RECTS,
+    "tile_windows": SQL_TILES, "owner_map": SQL_OWNER, "profile_violations": SQL_PROFILE,
 }

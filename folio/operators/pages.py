@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as g
-from folio.operators.masks import tile_windows
-from folio.operators.raster import best_splits, dilate, kernel, row_scores, square
+from folio.operators.raster import best_splits, row_scores
 from folio.plans.batch import segments, stitched
-from folio.sources.bridges import blocks, files, outcomes, pixels, regions, table, with_views
-from folio.sources.images import coerced_mode
+from folio.sources.bridges import blocks, files, outcomes, pixels, table, with_views
+from folio.sources.images import cleaned_mode, coerced_mode
 
 #: Cacheable artifacts with the step that makes each and its file suffix.
 ARTIFACTS = (("raw", "detect", "#raw.json"), ("base", "detect", "_base.png"), ("clean", "preprocess", "#clean.json"), ("mask", "mask", "_mask.png"), ("masked", "mask", "_clean.png"), ("denoised", "denoise", "_clean_denoised.png"), ("inpainted", "inpaint", "_clean_inpaint.png"))
@@ -73,30 +72,6 @@ def q_crop_replicated(spark, sf):
 SQL_CROP = with_views(" SELECT page_id, CAST(nx AS INTEGER) AS x, CAST(ny AS INTEGER) AS y, v FROM pixels JOIN (SELECT nx, ny, greatest(least(nx - 3, 23), 0) AS sx, greatest(least(ny - 2, 15), 0) AS sy FROM generate_series(0, 11) a(nx), generate_series(0, 21) b(ny)) ON x = sx AND y = sy", "pixels")
 
 
-def q_inpaint_page(spark, sf):
-    """A whole inpainting pass with a stub model: grown and isolated mask, tiles, owners, fill and write-back."""
-    p = pixels(spark, sf)
-    mask = dilate(p.filter("v < 8").select("page_id", "x", "y"), kernel(5), 24, 16)
-    isolation = dilate(mask, square(3), 24, 16)
-    whole = p.select("page_id").distinct().select("page_id", F.lit(0).alias("idx"), *(F.lit(v).alias(n) for n, v in (("x1", 0), ("y1", 0), ("x2", 24), ("y2", 16))))
-    tiles = tile_windows(whole, 24, 16, 16).select("page_id", "tile", "tx", "ty")
-    at = isolation.join(tiles, "page_id").filter("x >= tx and x < tx + 16 and y >= ty and y < ty + 16")
-    owner = at.groupBy("page_id", "x", "y").agg(F.min("tile").alias("tile"))
-    filled = at.select("page_id", "x", "y", "tile", F.expr("cast((x + y + tile * 50) % 256 as int)").alias("v"))
-    return write_back(p, filled, owner, mask).groupBy("page_id").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("x") + 24 * F.col("y"))).alias("digest"))
-
-
-def _shift(name: str, source: str, offsets) -> str:
-    values = ", ".join(f"({dx}, {dy})" for dx, dy in offsets)
-    return f"{name} AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM {source}, (VALUES {values}) AS k(dx, dy) WHERE x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 15)"
-
-
-SQL_INPAINT = with_views(f""", raw AS (SELECT page_id, x, y FROM pixels WHERE v < 8), {_shift('m', 'raw', kernel(5))}, {_shift('iso', 'm', square(3))},
-o AS (SELECT page_id, x, y, CASE WHEN x < 16 THEN 0 ELSE 1 END AS tile FROM iso)
-SELECT p.page_id, CAST(sum(CASE WHEN m.x IS NOT NULL THEN (p.x + p.y + o.tile * 50) % 256 ELSE v END) AS BIGINT) AS total, CAST(sum((CASE WHEN m.x IS NOT NULL THEN (p.x + p.y + o.tile * 50) % 256 ELSE v END) * (p.x + 24 * p.y)) AS BIGINT) AS digest
-FROM pixels p LEFT JOIN m ON m.page_id = p.page_id AND m.x = p.x AND m.y = p.y LEFT JOIN o ON o.page_id = p.page_id AND o.x = p.x AND o.y = p.y GROUP BY p.page_id""", "pixels")
-
-
 def q_residual_report(spark, sf):
     return residual_report(blocks(spark, sf))
 
@@ -108,10 +83,10 @@ def q_output_formats(spark, sf):
     """Each file's colour mode after export to each of three formats, with its destination and rebased path."""
     f = files(spark, sf).withColumn("mode", F.element_at(F.array(*map(F.lit, ("L", "LA", "RGB", "RGBA"))), (F.col("page_id") % 4 + 1).cast("int")))
     f = f.withColumn("out", F.explode(F.array(*map(F.lit, (".jpg", ".tif", ".ppm")))))
-    return f.select("page_id", "out", coerced_mode(F.col("mode"), F.col("out")).alias("written"), F.col("out").isin(".tif").alias("alpha"), F.col("out").isin(".jpg", ".tif").alias("dpi"), rebased(F.concat(F.lit("old/"), F.col("page_id").cast("string")), "old", "new/place").alias("path"))
+    return f.select("page_id", "out", coerced_mode(F.col("mode"), F.col("out")).alias("written"), F.col("out").isin(".tif").alias("alpha"), F.col("out").isin(".jpg", ".tif").alias("dpi"), rebased(F.concat(F.lit("old/"), F.col("page_id").cast("string")), "old", "new/place").alias("path"), cleaned_mode(F.col("mode"), F.expr("page_id % 3 = 0")).alias("cleaned"))
 
 
-SQL_FORMATS = with_views(""" SELECT page_id, out, CASE WHEN out = '.ppm' THEN 'RGB' WHEN out = '.jpg' AND mode = 'LA' THEN 'L' WHEN out = '.jpg' AND mode = 'RGBA' THEN 'RGB' WHEN out = '.tif' AND mode = 'LA' THEN 'RGBA' ELSE mode END AS written, out = '.tif' AS alpha, out IN ('.jpg', '.tif') AS dpi, 'new/place/' || page_id AS path
+SQL_FORMATS = with_views(""" SELECT page_id, out, CASE WHEN out = '.ppm' THEN 'RGB' WHEN out = '.jpg' AND mode = 'LA' THEN 'L' WHEN out = '.jpg' AND mode = 'RGBA' THEN 'RGB' WHEN out = '.tif' AND mode = 'LA' THEN 'RGBA' ELSE mode END AS written, out = '.tif' AS alpha, out IN ('.jpg', '.tif') AS dpi, 'new/place/' || page_id AS path, CASE WHEN mode IN ('L', 'LA') AND page_id % 3 = 0 THEN 'L' ELSE 'RGB' END AS cleaned
 FROM (SELECT page_id, ['L', 'LA', 'RGB', 'RGBA'][page_id % 4 + 1] AS mode, unnest(['.jpg', '.tif', '.ppm']) AS out FROM files)""", "files")
 
 
@@ -149,15 +124,6 @@ SQL_ZIP = with_views(""" SELECT page_id, count(*) AS boxes, count(*) FILTER (k)
 FROM (SELECT *, NOT (page_id % 9 = 0 AND idx = 3) AS k FROM blocks) GROUP BY page_id""", "blocks")
 
 
-def q_label_order(spark, sf):
-    """Labels of the boxes' pixels by the first 2 x 2 cell they touch, then by label."""
-    first = regions(spark, sf).select("page_id", F.col("idx").alias("label"), F.struct(F.floor(F.col("y1") / 2).alias("cy"), F.floor(F.col("x1") / 2).alias("cx")).alias("cell"))
-    return first.select("page_id", "label", F.row_number().over(Window.partitionBy("page_id").orderBy("cell", "label")).alias("place"))
-
-
-SQL_LABELS = with_views(" SELECT page_id, idx AS label, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y1 // 2, x1 // 2, idx) AS INTEGER) AS place FROM blocks", "blocks")
-
-
 def q_directory_sizes(spark, sf):
     """Bytes stored below each host's folder, all levels."""
     p = table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.octet_length("html").cast("long").alias("bytes"))
@@ -167,10 +133,10 @@ def q_directory_sizes(spark, sf):
 SQL_DIRS = "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) AS files FROM pages GROUP BY 1"
 
 QUERIES = {
-    "strips": q_strips, "crop_replicated": q_crop_replicated, "inpaint_page": q_inpaint_page, "residual_report": q_residual_report, "output_formats": q_output_formats, "field_coverage": q_field_coverage,
-    "artifact_dimension": q_artifact_dimension, "zip_positions": q_zip_positions, "label_order": q_label_order, "directory_sizes": q_directory_sizes,
+    "strips": q_strips, "crop_replicated": q_crop_replicated, "residual_report": q_residual_report, "output_formats": q_output_formats, "field_coverage": q_field_coverage,
+    "artifact_dimension": q_artifact_dimension, "zip_positions": q_zip_positions, "directory_sizes": q_directory_sizes,
 }
 ORACLES = {
-    "strips": SQL_STRIPS, "crop_replicated": SQL_CROP, "inpaint_page": SQL_INPAINT, "residual_report": SQL_RESIDUAL, "output_formats": SQL_FORMATS, "field_coverage": SQL_FIELD,
-    "artifact_dimension": SQL_DIMENSION, "zip_positions": SQL_ZIP, "label_order": SQL_LABELS, "directory_sizes": SQL_DIRS,
+    "strips": SQL_STRIPS, "crop_replicated": SQL_CROP, "residual_report": SQL_RESIDUAL, "output_formats": SQL_FORMATS, "field_coverage": SQL_FIELD,
+    "artifact_dimension": SQL_DIMENSION, "zip_positions": SQL_ZIP, "directory_sizes": SQL_DIRS,
 }

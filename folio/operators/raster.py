@@ -76,16 +76,16 @@ def diamond(radius: int) -> list[tuple[int, int]]:
 PLUS = diamond(1)
 
 
-def kernel(thickness: int) -> list[tuple[int, int]]:
-    """Structuring element: up to 5 a square without corners, above an ellipse by row spans."""
-    if thickness <= 5:
-        return square(thickness, corners=False)
-    k = thickness // 2
-    out = []
-    for dy in range(-k, thickness - k):
-        span = round(k * (1 - (dy / k) ** 2) ** 0.5) if abs(dy) <= k else 0
-        out += [(dx, dy) for dx in range(-span, span + 1)]
-    return out
+def kernel_rows(radius: int) -> list[tuple[int, int]]:
+    """Structuring element of a radius as (dy, half width) rows: up to 2 a square without corners, above an ellipse."""
+    if radius <= 2:
+        return [(dy, radius - (1 if radius and abs(dy) == radius else 0)) for dy in range(-radius, radius + 1)]
+    return [(dy, int((radius * radius - dy * dy) ** 0.5 + 0.5)) for dy in range(-radius, radius + 1)]
+
+
+def kernel(radius: int) -> list[tuple[int, int]]:
+    """The same as (dx, dy) offsets."""
+    return [(dx, dy) for dy, half in kernel_rows(radius) for dx in range(-half, half + 1)]
 
 
 def neighbours(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
@@ -205,13 +205,6 @@ def _offsets_sql(name: str, offsets) -> str:
     return f"{name}(dx, dy) AS (VALUES {', '.join(f'({dx}, {dy})' for dx, dy in offsets)})"
 
 
-def q_dilate(spark, sf):
-    return dilate(_bright(spark, sf), kernel(7), 24, 16)
-
-
-SQL_DILATE = with_views(f", {_offsets_sql('k', kernel(7))} SELECT DISTINCT page_id, CAST(x + dx AS INTEGER) AS x, CAST(y + dy AS INTEGER) AS y FROM pixels, k WHERE v > 200 AND x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 15", "pixels")
-
-
 def q_grey_morphology(spark, sf):
     p = pixels(spark, sf)
     parts = {"dilate_l1": extreme(p, diamond(3), "max"), "erode_rect": extreme(p, square(3), "min"), "erode_plus": extreme(p, PLUS, "min")}
@@ -257,7 +250,7 @@ SELECT page_id, CAST(CASE WHEN v < lo + k * (hi - lo) / 255 THEN k - 1 WHEN v >=
 def q_otsu(spark, sf):
     """Threshold of each page, and whether the mask or its negative is nearer to the prediction."""
     p = pixels(spark, sf).join(otsu(pixels(spark, sf)), "page_id")
-    mask, want = threshold_binary(F.col("v"), 0), threshold_binary(F.pmod(F.col("v") * 5, F.lit(256)), 127)
+    want = threshold_binary(F.pmod(F.col("v") * 5, F.lit(256)), 127)
     mask = F.when(F.col("v") > F.col("threshold"), 255).otherwise(0)
     sums = p.groupBy("page_id", "threshold").agg(F.sum(mask.bitwiseXOR(want)).alias("pos"), F.sum((F.lit(255) - mask).bitwiseXOR(want)).alias("neg"))
     return sums.withColumn("inverted", F.col("neg") < F.col("pos"))
@@ -381,19 +374,6 @@ def rasterize(boxes: DataFrame, w: int, h: int) -> DataFrame:
     return inside.select("*", xs).select("page_id", "idx", "y1", "y2", "x").select("page_id", "idx", "x", ys)
 
 
-def q_mask_coverage(spark, sf):
-    """Share of the mask under each box (kept from a tenth on), and whether confident boxes hold any of it."""
-    b = small_boxes(spark, sf)
-    hit = rasterize(b, 24, 16).join(pixels(spark, sf), ["page_id", "x", "y"]).groupBy("page_id", "idx").agg(F.sum("v").alias("total"), F.count("*").alias("n"), F.max("v").alias("top"))
-    j = b.join(hit, ["page_id", "idx"], "left")
-    share = F.round(F.coalesce(F.col("total") / (F.col("n") * 255.0), F.lit(0.0)), 6)
-    return j.select("page_id", "idx", share.alias("coverage"), (share >= 0.1).alias("kept"), ((F.col("conf_milli") > 600) & (F.coalesce("top", F.lit(0)) > 240)).alias("residual"))
-
-
-SQL_COVERAGE = with_views(_SMALL + """ SELECT b.page_id, b.idx, round(coalesce(sum(v) / (count(v) * 255.0::DOUBLE), 0), 6) AS coverage, round(coalesce(sum(v) / (count(v) * 255.0::DOUBLE), 0), 6) >= 0.1 AS kept, any_value(conf_milli) > 600 AND coalesce(max(v), 0) > 240 AS residual
-FROM boxes b LEFT JOIN pixels p ON p.page_id = b.page_id AND p.x >= b.x1 AND p.x < b.x2 AND p.y >= b.y1 AND p.y < b.y2 GROUP BY b.page_id, b.idx""", "blocks", "pixels")
-
-
 def q_rasterize_union(spark, sf):
     """Pixels of each page under any box; and of those the bright ones and the ones no box covers twice."""
     r = rasterize(small_boxes(spark, sf), 24, 16).groupBy("page_id", "x", "y").agg(F.count("*").alias("n"))
@@ -438,22 +418,22 @@ g AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM i, k WHERE v > 60)
 
 
 def q_candidate_greys(spark, sf):
-    """Grey values under the plus-eroded bright mask, with their counts."""
+    """Grey values under the bright mask eroded by three by three, with their counts."""
     p = pixels(spark, sf)
-    core = extreme(p.withColumn("v", threshold_binary(F.pmod(F.col("v") * 5, F.lit(256)), GREY_LIMIT)), PLUS, "min").filter(F.col("v") > GREY_LIMIT).select("page_id", "x", "y")
+    core = extreme(p.withColumn("v", threshold_binary(F.pmod(F.col("v") * 5, F.lit(256)), GREY_LIMIT)), square(3), "min").filter(F.col("v") > GREY_LIMIT).select("page_id", "x", "y")
     return p.join(core, ["page_id", "x", "y"]).groupBy("page_id", "v").agg(F.count("*").alias("n"))
 
 
-SQL_GREYS = with_views(f""", b AS (SELECT page_id, x, y, CASE WHEN v * 5 % 256 > 127 THEN 255 ELSE 0 END AS m FROM pixels), {_offsets_sql('k', PLUS)},
+SQL_GREYS = with_views(""", b AS (SELECT page_id, x, y, CASE WHEN v * 5 % 256 > 127 THEN 255 ELSE 0 END AS m FROM pixels), k(dx, dy) AS (VALUES (-1, -1), (0, -1), (1, -1), (-1, 0), (0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)),
 e AS (SELECT t.page_id, t.x, t.y FROM b t, k JOIN b s ON s.page_id = t.page_id AND s.x = t.x + dx AND s.y = t.y + dy GROUP BY ALL HAVING min(s.m) > 127)
 SELECT p.page_id, v, count(*) AS n FROM pixels p JOIN e USING (page_id, x, y) GROUP BY p.page_id, v""", "pixels")
 
 
 QUERIES = {
-    "luma": q_luma, "thresholds": q_thresholds, "dilate": q_dilate, "grey_morphology": q_grey_morphology, "edge_pixels": q_edges, "grey_statistics": q_grey_statistics, "histogram_255": q_histogram, "otsu": q_otsu,
-    "best_splits": q_splits, "image_metrics": q_image_metrics, "resize_nearest": q_resize_nearest, "resize_area": q_resize_area, "composite_layers": q_composite, "mask_coverage": q_mask_coverage, "rasterize_union": q_rasterize_union, "mask_sets": q_mask_sets, "refine_simple": q_refine_simple, "candidate_greys": q_candidate_greys,
+    "luma": q_luma, "thresholds": q_thresholds, "grey_morphology": q_grey_morphology, "edge_pixels": q_edges, "grey_statistics": q_grey_statistics, "histogram_255": q_histogram, "otsu": q_otsu,
+    "best_splits": q_splits, "image_metrics": q_image_metrics, "resize_nearest": q_resize_nearest, "resize_area": q_resize_area, "composite_layers": q_composite, "rasterize_union": q_rasterize_union, "mask_sets": q_mask_sets, "refine_simple": q_refine_simple, "candidate_greys": q_candidate_greys,
 }
 ORACLES = {
-    "luma": SQL_LUMA, "thresholds": SQL_THRESH, "dilate": SQL_DILATE, "grey_morphology": SQL_MORPH, "edge_pixels": SQL_EDGES, "grey_statistics": SQL_STATS, "histogram_255": SQL_HIST, "otsu": SQL_OTSU,
-    "best_splits": SQL_SPLITS, "image_metrics": SQL_METRICS, "resize_nearest": SQL_NEAREST, "resize_area": SQL_AREA, "composite_layers": SQL_COMPOSITE, "mask_coverage": SQL_COVERAGE, "rasterize_union": SQL_UNION, "mask_sets": SQL_SETS, "refine_simple": SQL_REFINE, "candidate_greys": SQL_GREYS,
+    "luma": SQL_LUMA, "thresholds": SQL_THRESH, "grey_morphology": SQL_MORPH, "edge_pixels": SQL_EDGES, "grey_statistics": SQL_STATS, "histogram_255": SQL_HIST, "otsu": SQL_OTSU,
+    "best_splits": SQL_SPLITS, "image_metrics": SQL_METRICS, "resize_nearest": SQL_NEAREST, "resize_area": SQL_AREA, "composite_layers": SQL_COMPOSITE, "rasterize_union": SQL_UNION, "mask_sets": SQL_SETS, "refine_simple": SQL_REFINE, "candidate_greys": SQL_GREYS,
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.operators import kernels, layout, masks, pages, raster, reports
+from folio.operators import compare, dense, layout, masks, pages, raster, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (layout, raster, masks, reports, pages, kernels)
+MODULES = (layout, raster, masks, reports, pages, dense, compare)
 
 
 def queries() -> dict[str, Query]:

@@ -67,3 +67,26 @@ def requested_outputs(save_only_mask: bool = False, save_only_cleaned: bool = Fa
 def implied_skips(skips: set[str], steps: tuple[str, ...]) -> set[str]:
     """Skipping a step skips all before it."""
     return set(steps[: start_step(skips, steps)])
+
+
+def growth_padding(min_thickness: int = 4, step: int = 2) -> int:
+    """Margin in which masks grow: twice the larger of both radii."""
+    return 2 * max(min_thickness, step)
+
+
+def nlm_params(profile: Profile) -> dict[str, float]:
+    return {"strength": profile.values["strength"], "patch": int(profile.values["window"]), "search": int(profile.values["search"])}
+
+
+def split_params(preferred_height: int = 2000, tolerance: int = 500, split_strips: bool = True, aspect: float | None = None) -> dict[str, float]:
+    """What cutting a strip goes by: preferred height of a segment, how far a cut may lie from it, whether to cut at all, and from which shape on."""
+    return {"preferred_height": preferred_height, "tolerance": tolerance, "split_strips": split_strips, "aspect": DEFAULTS["aspect"] if aspect is None else aspect}
+
+
+def resolve_device(wanted: str, has_cuda: bool) -> str:
+    """The device to run on: what is wanted, ``auto`` by what there is; asking for what is missing is refused."""
+    if wanted not in ("auto", "cpu", "cuda"):
+        raise ValueError(f"unknown device {wanted}")
+    if wanted == "cuda" and not has_cuda:
+        raise ValueError("cuda is wanted but not available")
+    return ("cuda" if has_cuda else "cpu") if wanted == "auto" else wanted

@@ -36,10 +36,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, row_idx, q0..q6): detector rows as integers, nine from each vector."""
-    cut = F.explode(F.sequence(F.lit(0), F.lit(8)))
+    """(page_id, row_idx, q0..q6): detector rows as integers, ten from each vector; the last goes round to its first components."""
+    cut = F.explode(F.sequence(F.lit(0), F.lit(9)))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", cut.alias("row_idx"))
-    value = lambda i: F.floor(F.abs(F.get(F.col("embedding"), F.col("row_idx") * 7 + i).cast("double")) * 4096).cast("int").alias(f"q{i}")
+    value = lambda i: F.floor(F.abs(F.get(F.col("embedding"), (F.col("row_idx") * 7 + i) % F.size("embedding")).cast("double")) * 4096).cast("int").alias(f"q{i}")
     return rows.select(F.col("vec_id").alias("page_id"), F.col("row_idx").cast("int"), *(value(i) for i in range(7)))
 
 
@@ -96,8 +96,8 @@ SQL = {
   CASE l_returnflag WHEN 'R' THEN 'japanese' WHEN 'A' THEN 'english' END AS lang,
   CAST(400 + (l_partkey * 17 + l_suppkey * 5) % 600 AS INTEGER) AS conf_milli FROM lineitem)""",
     "raw_rows": "raw_rows AS (SELECT vec_id AS page_id, CAST(row_idx AS INTEGER) AS row_idx, "
-    + ", ".join(f"CAST(floor(abs(CAST(embedding[row_idx * 7 + {i + 1}] AS DOUBLE)) * 4096) AS INTEGER) AS q{i}" for i in range(7))
-    + " FROM embeddings, generate_series(0, 8) AS g(row_idx))",
+    + ", ".join(f"CAST(floor(abs(CAST(embedding[(row_idx * 7 + {i}) % len(embedding) + 1] AS DOUBLE)) * 4096) AS INTEGER) AS q{i}" for i in range(7))
+    + " FROM embeddings, generate_series(0, 9) AS g(row_idx))",
     "pixels": """pixels AS (SELECT page_id, x, y, CAST((x * 7 + y * 13 + page_id * 29 + x * y * 3) % 256 AS INTEGER) AS v
   FROM (SELECT p_partkey AS page_id FROM part), (SELECT CAST(i % 24 AS INTEGER) AS x, CAST(i // 24 AS INTEGER) AS y FROM generate_series(0, 383) AS g(i)))""",
     "regions": """regions AS (SELECT *, CAST((x1 * 131 + y1 * 17 + idx * 7) % 30000 AS INTEGER) AS std_milli, (x2 + y2) % 5 = 0 AS failed,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folio.functions.text import INPUT_SUFFIXES, suffix
 
 SCHEMA_VERSION = 1
+#: Chunks of a PNG looked at before the pixel data.
+MAX_CHUNKS = 64
 RECT = "struct<x1:int,y1:int,x2:int,y2:int>"
 #: Fixed schemas of the stage checkpoints.
 RAW_PAGE = f"schema_version int, original_path string, base_image struct<path:string>, raw_mask struct<path:string>, scale double, image_size array<int>, blocks array<struct<rect:{RECT},language:string,confidence:float,mask_coverage:float>>"
@@ -38,11 +40,25 @@ def png_header(content: Column) -> Column:
 
 
 def png_dpi(content: Column) -> Column:
-    """Dots per inch of a pHYs chunk in metres within the first 64 KiB, else null."""
-    head = F.hex(F.substring(content, 1, 65536))
-    at = F.instr(head, "70485973")
-    unit = F.substring(head, at + 24, F.lit(2))
-    return F.when((at > 0) & (unit == "01"), F.round(F.conv(F.substring(head, at + 8, F.lit(8)), 16, 10).cast("double") * 0.0254).cast("int"))
+    """Dots per inch of the pHYs chunk where it counts in metres, else null.
+
+    Chunks are walked one after another from the header on, up to the pixel
+    data, so bytes that only look like a chunk are passed over.
+    """
+    start = F.struct(F.lit(8).alias("at"), F.lit(None).cast("int").alias("dpi"), F.lit(False).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        kind = F.substring(content, s["at"] + 5, 4).cast("string")
+        size = F.conv(F.hex(F.substring(content, s["at"] + 1, 4)), 16, 10).cast("long")
+        metre = F.hex(F.substring(content, s["at"] + 17, 1)) == "01"
+        density = F.round(F.conv(F.hex(F.substring(content, s["at"] + 9, 4)), 16, 10).cast("double") * 0.0254).cast("int")
+        found = kind == "pHYs"
+        ends = found | (kind == "IDAT") | (F.length(kind) < 4)
+        next_ = F.least(s["at"] + 12 + size, F.lit(2_000_000_000)).cast("int")
+        return F.when(s["done"], s).otherwise(F.struct(F.coalesce(next_, s["at"]).alias("at"), F.when(found & metre, density).alias("dpi"), ends.alias("done")))
+
+    is_png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
+    return F.when(is_png, F.aggregate(F.sequence(F.lit(1), F.lit(MAX_CHUNKS)), start, step, lambda s: s["dpi"]))
 
 
 def read_jpeg_header(head: bytes) -> tuple[int, int, int, int | None] | None:
@@ -83,6 +99,23 @@ def coerced_mode(mode: Column, out_suffix: Column) -> Column:
     return F.when(ppm, "RGB").when(jpeg & (mode == "LA"), "L").when(jpeg & (mode == "RGBA"), "RGB").when(out_suffix.isin(".tif", ".tiff") & (mode == "LA"), "RGBA").otherwise(mode)
 
 
+def cleaned_mode(mode: Column, all_achromatic: Column) -> Column:
+    """Mode of a cleaned page: grey only where the page was and every fitted colour is."""
+    return F.when(mode.isin("L", "LA") & all_achromatic, "L").otherwise("RGB")
+
+
+def mock_blocks(pages: DataFrame, boxes: list[tuple[int, int, int, int]], confidence: float = 1.0) -> DataFrame:
+    """The same boxes on every page, for runs without a detector."""
+    each = F.posexplode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), b, strict=True))) for b in boxes)))
+    return pages.select("*", each).select(*pages.columns, F.col("pos").alias("idx"), "col.*", F.lit(confidence).alias("confidence"))
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(token_id, token) of a token list, a line each; small enough to broadcast, so it is read as one value."""
+    text = F.regexp_replace("value", "\r?\n$", "")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(text, "\r?\n"))).select(F.col("pos").alias("token_id"), F.col("col").alias("token"))
+
+
 def write_checkpoint(pages: DataFrame, path: str) -> None:
     """One JSON line per page, with the schema's version; pages with an image that has no path are refused."""
     if not pages.filter("base_image is null or base_image.path is null").isEmpty():
