@@ -60,7 +60,7 @@ def growth(std: Column) -> Column:
 
 
 def merge_rects(df: DataFrame) -> DataFrame:
-    """Per page, non-empty boxes merged until no two bounding boxes intersect, sorted.
+    """Per page, non-empty boxes merged until no two bounding boxes intersect, with their place by rows, then columns.
 
     The fixpoint runs inside the fold of a page: each box absorbs what it meets,
     again while it grows.
@@ -82,7 +82,8 @@ def merge_rects(df: DataFrame) -> DataFrame:
         return F.when(s["done"], s).otherwise(F.get(after, 0))
 
     settled = F.aggregate(F.sequence(F.lit(1), F.size("all")), state(first, F.lit(False)), again, lambda s: s["boxes"])
-    return pages.select("page_id", F.explode(settled).alias("m")).select("page_id", "m.*")
+    ordered = F.array_sort(F.transform(settled, lambda b: F.struct(b["y1"].alias("y1"), b["x1"].alias("x1"), b["y2"].alias("y2"), b["x2"].alias("x2"))))
+    return pages.select("page_id", F.posexplode(ordered)).select("page_id", F.col("pos").alias("place"), "col.x1", "col.y1", "col.x2", "col.y2")
 
 
 def axis_anchors(low: Column, high: Column, canvas: int, tile: int = TILE) -> Column:
@@ -168,7 +169,7 @@ SQL_MERGE_RECTS = with_views(""", f AS (SELECT page_id, 0 AS step, list({'a': x1
  UNION ALL SELECT page_id, step + 1, list_distinct(list_transform(boxes, lambda p: {
   'a': list_min(list_transform(list_filter(boxes, lambda q: p.a < q.c AND q.a < p.c AND p.b < q.d AND q.b < p.d), lambda q: q.a)), 'b': list_min(list_transform(list_filter(boxes, lambda q: p.a < q.c AND q.a < p.c AND p.b < q.d AND q.b < p.d), lambda q: q.b)),
   'c': list_max(list_transform(list_filter(boxes, lambda q: p.a < q.c AND q.a < p.c AND p.b < q.d AND q.b < p.d), lambda q: q.c)), 'd': list_max(list_transform(list_filter(boxes, lambda q: p.a < q.c AND q.a < p.c AND p.b < q.d AND q.b < p.d), lambda q: q.d))})) FROM f WHERE step < 24)
-SELECT page_id, u.a AS x1, u.b AS y1, u.c AS x2, u.d AS y2 FROM (SELECT page_id, unnest(boxes) AS u FROM f WHERE step = 24)""", "blocks")
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY u.b, u.a, u.d, u.c) - 1 AS INTEGER) AS place, u.a AS x1, u.b AS y1, u.c AS x2, u.d AS y2 FROM (SELECT page_id, unnest(boxes) AS u FROM f WHERE step = 24)""", "blocks")
 
 
 def q_tile_windows(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as g
@@ -112,25 +112,39 @@ last AS (SELECT run_id, arg_max(step, page_id) AS step FROM outcomes WHERE statu
 SELECT run_id, d.artifact, d.suffix FROM last JOIN reach USING (step) JOIN dim d ON d.ord <= upto""", "outcomes")
 
 
+def zipped(left: DataFrame, right: DataFrame, order: str = "idx") -> DataFrame:
+    """Rows of a page side by side by their position in order, whatever their numbers are; the shorter side is null at the end."""
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(order))
+    return left.withColumn("place", place).drop(order).join(right.withColumn("place", place).drop(order), ["page_id", "place"], "full")
+
+
 def q_zip_positions(spark, sf):
     """Text boxes joined with their extended boxes by position, and pages where the two differ in number."""
     b = blocks(spark, sf).select("page_id", "idx", g.of().alias("r"))
-    e = b.filter("not (page_id % 9 = 0 and idx = 3)").select("page_id", "idx", g.pad(F.col("r"), 5, 1200, 1660).alias("e"))
-    j = b.join(e, ["page_id", "idx"], "left")
-    return j.groupBy("page_id").agg(F.count("*").alias("boxes"), F.count("e").alias("extended"), F.sum(g.area(F.col("e")) - F.when(F.col("e").isNotNull(), g.area(F.col("r")))).alias("growth")).withColumn("paired", F.col("boxes") == F.col("extended"))
+    e = b.filter("not (page_id % 9 = 0 and idx = 1)").select("page_id", "idx", g.pad(F.col("r"), 5, 1200, 1660).alias("e"))
+    j = zipped(b, e)
+    return j.groupBy("page_id").agg(F.count("r").alias("boxes"), F.count("e").alias("extended"), F.sum(F.when(F.col("e").isNotNull(), g.area(F.col("e")) - g.area(F.col("r")))).alias("growth")).withColumn("paired", F.col("boxes") == F.col("extended"))
+
+
+SQL_ZIP = with_views(""", b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS place FROM blocks),
+e AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS place, (least(x2 + 5, 1200) - greatest(x1 - 5, 0)) * (least(y2 + 5, 1660) - greatest(y1 - 5, 0)) AS area FROM blocks WHERE NOT (page_id % 9 = 0 AND idx = 1))
+SELECT b.page_id, count(*) AS boxes, count(e.area) AS extended, CAST(sum(e.area - (x2 - x1) * (y2 - y1)) AS BIGINT) AS growth, count(*) = count(e.area) AS paired FROM b LEFT JOIN e ON e.page_id = b.page_id AND e.place = b.place GROUP BY b.page_id""", "blocks")
 
 
-SQL_ZIP = with_views(""" SELECT page_id, count(*) AS boxes, count(*) FILTER (k) AS extended, CAST(sum((least(x2 + 5, 1200) - greatest(x1 - 5, 0)) * (least(y2 + 5, 1660) - greatest(y1 - 5, 0)) - (x2 - x1) * (y2 - y1)) FILTER (k) AS BIGINT) AS growth, count(*) = count(*) FILTER (k) AS paired
-FROM (SELECT *, NOT (page_id % 9 = 0 AND idx = 3) AS k FROM blocks) GROUP BY page_id""", "blocks")
+def directory_sizes(stored: DataFrame) -> DataFrame:
+    """(folder, bytes, files): what is stored below every folder of the paths, on all levels."""
+    parts = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    return stored.filter(F.size(parts) > 1).select(above.alias("folder"), "bytes").groupBy("folder").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
 
 
 def q_directory_sizes(spark, sf):
-    """Bytes stored below each host's folder, all levels."""
-    p = table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.octet_length("html").cast("long").alias("bytes"))
-    return p.groupBy("host").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+    path = F.concat(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), F.lit("/"), F.col("page_id").cast("string"))
+    return directory_sizes(table(spark, sf, "pages").select(path.alias("path"), F.octet_length("html").cast("long").alias("bytes")))
 
 
-SQL_DIRS = "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) AS files FROM pages GROUP BY 1"
+SQL_DIRS = """SELECT array_to_string(list_slice(parts, 1, n), '/') AS folder, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files
+FROM (SELECT parts, bytes, unnest(generate_series(1, len(parts) - 1)) AS n FROM (SELECT string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1) || '/' || page_id, '/') AS parts, strlen(html) AS bytes FROM pages)) GROUP BY 1"""
 
 QUERIES = {
     "strips": q_strips, "crop_replicated": q_crop_replicated, "residual_report": q_residual_report, "output_formats": q_output_formats, "field_coverage": q_field_coverage,

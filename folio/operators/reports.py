@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import geometry as g
 from folio.functions import text as t
+from folio.operators.dense import SQL_COVERAGE, q_mask_coverage
 from folio.operators.layout import ORACLES as LAYOUT
 from folio.operators.layout import boxed, preprocess
 from folio.sources.bridges import STEPS, blocks, durations, files, ocr_text, outcomes, raw_rows, regions, table, with_views
@@ -209,11 +210,11 @@ SQL_BENCH = with_views(" SELECT run_id, count(*) AS n, median(CAST(ms AS DOUBLE)
 
 
 def q_detect_analytics(spark, sf):
-    """Detected and kept boxes of each page."""
-    return blocks(spark, sf).groupBy("page_id").agg(F.count("*").alias("detected"), F.count_if(F.col("conf_milli") >= 700).alias("kept"))
+    """Detected boxes of each page, and those that hold enough of the mask to be kept."""
+    return q_mask_coverage(spark, sf).groupBy("page_id").agg(F.count("*").alias("detected"), F.count_if("kept").alias("kept"))
 
 
-SQL_DETECT = with_views(" SELECT page_id, count(*) AS detected, count(*) FILTER (conf_milli >= 700) AS kept FROM blocks GROUP BY page_id", "blocks")
+SQL_DETECT = f"SELECT page_id, count(*) AS detected, count(*) FILTER (kept) AS kept FROM ({SQL_COVERAGE}) GROUP BY page_id"
 
 
 def q_merge_analytics(spark, sf):
@@ -222,7 +223,7 @@ def q_merge_analytics(spark, sf):
     return df.agg(F.sum("detected").alias("detected"), F.sum("kept").alias("kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "kept"))), lambda s: s["kept"].cast("string")), "|").alias("kept_list"), F.count("*").alias("segments"))
 
 
-SQL_MERGE_AN = with_views(" SELECT page_id // 8 AS strip, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(kept) AS BIGINT) AS kept, string_agg(kept, '|' ORDER BY page_id) AS kept_list, count(*) AS segments FROM (SELECT page_id, count(*) AS detected, count(*) FILTER (conf_milli >= 700) AS kept FROM blocks GROUP BY page_id) GROUP BY strip", "blocks")
+SQL_MERGE_AN = f"SELECT page_id // 8 AS strip, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(kept) AS BIGINT) AS kept, string_agg(kept, '|' ORDER BY page_id) AS kept_list, count(*) AS segments FROM ({SQL_DETECT}) GROUP BY strip"
 
 
 def q_analytics_lines(spark, sf):

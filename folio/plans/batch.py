@@ -31,7 +31,8 @@ def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema
 def run_stages(df: DataFrame, stages: list[tuple[str, Stage]], folder: str, resume_after: str | None = None, fail_fast: bool = False) -> DataFrame:
     """Each stage's result is a Parquet checkpoint; stages up to resume_after are read from theirs.
 
-    With fail_fast the run ends behind the first stage that left failed rows.
+    The run ends behind a stage that left a run-fatal row, with fail_fast behind
+    the first that left failed rows.
     """
     spark, skip = df.sparkSession, resume_after is not None
     for name, stage in stages:
@@ -41,7 +42,8 @@ def run_stages(df: DataFrame, stages: list[tuple[str, Stage]], folder: str, resu
         df = spark.read.parquet(path)
         if name == resume_after:
             skip = False
-        if fail_fast and "status" in df.columns and not df.filter("status in ('failed', 'run_fatal')").isEmpty():
+        ends = "status in ('failed', 'run_fatal')" if fail_fast else "status = 'run_fatal'"
+        if "status" in df.columns and not df.filter(ends).isEmpty():
             break
     return df
 

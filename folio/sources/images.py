@@ -23,8 +23,8 @@ def image_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def decoded_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded pixels by the JVM's readers; unreadable files are dropped."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """Decoded pixels by the JVM's readers; a file that cannot be decoded is a failed row without pixels."""
+    return spark.read.format("image").option("dropInvalid", False).load(path).select("image.*", (F.col("image.width") < 0).alias("failed"))
 
 
 def _number(content: Column, at: int, size: int) -> Column:
@@ -117,8 +117,9 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_checkpoint(pages: DataFrame, path: str) -> None:
-    """One JSON line per page, with the schema's version; pages with an image that has no path are refused."""
-    if not pages.filter("base_image is null or base_image.path is null").isEmpty():
+    """One JSON line per page, with the schema's version; pages with an image or mask that has no path are refused."""
+    without = " or ".join(f"{c} is null or {c}.path is null" for c in ("base_image", "raw_mask") if c in pages.columns)
+    if without and not pages.filter(without).isEmpty():
         raise ValueError("a page's image has no path")
     pages.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.json(path)
 
