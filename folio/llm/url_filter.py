@@ -12,7 +12,8 @@ and leading path segments).  Patterns are lower case without scheme, port or
 trailing slash.  Two entries of one pattern on one day count as the
 alphabetically last action.  A capture with a null or unreadable URL, a null
 fetch date or no active entry is allowed with a null rule.  Identical captures
-give one row.
+give one row.  Without captures there are no rows, without entries all captures
+are allowed.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ def url_segments(url: Column) -> Column:
     return F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
 
 
-def lookup_keys(host: Column, segments: Column, max_depth: int) -> Column:
-    """Array of (kind, pattern, weight) under which an entry may name the capture."""
+def lookup_keys(host: Column, segments: Column, max_depth: int, fewest: int = 1) -> Column:
+    """Array of (kind, pattern, weight) under which an entry may name the capture: its host, parent domains of at least ``fewest`` labels, path prefixes."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     one = lambda kind, pattern, weight: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), weight.cast("int").alias("weight"))
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: one("domain", F.array_join(F.slice(labels, i, n), "."), n - i))
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: n - i + 1 >= fewest)
+    domains = F.transform(places, lambda i: one("domain", F.array_join(F.slice(labels, i, n), "."), n - i))
     keys = F.concat(F.array(one("host", host, F.lit(1000))), domains)
     if max_depth:
         depth = F.least(F.size(segments), F.lit(max_depth))
@@ -60,10 +62,13 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """id, url, fetched, blocked, and the deciding rule's kind, pattern and start of every capture."""
     active = validity_intervals(entries)
-    depth = active.filter("kind = 'prefix'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    # keys that no entry can have are not made: deeper prefixes, and domains of fewer labels, such as a top-level one that every other capture shares
+    prefix, domain = F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1), F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))
+    bounds = active.agg(F.max(prefix).alias("depth"), F.min(domain).alias("fewest")).first()
+    depth, fewest = bounds.depth or 0, bounds.fewest or 1_000
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).alias("fetched"))
     keyed = rows.withColumn("host", url_host(F.col("url"))).withColumn("segments", url_segments(F.col("url")))
-    keyed = keyed.select("id", "url", "fetched", F.explode_outer(F.when(F.col("host").isNotNull(), lookup_keys(F.col("host"), F.col("segments"), depth))).alias("k"))
+    keyed = keyed.select("id", "url", "fetched", F.explode_outer(F.when(F.col("host").isNotNull(), lookup_keys(F.col("host"), F.col("segments"), depth, fewest))).alias("k"))
     keyed = keyed.select("id", "url", "fetched", "k.kind", "k.pattern", "k.weight")
     a = active.withColumnsRenamed({"kind": "a_kind", "pattern": "a_pattern"})
     on = (F.col("kind") == F.col("a_kind")) & (F.col("pattern") == F.col("a_pattern")) & (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
