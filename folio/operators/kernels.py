@@ -251,12 +251,20 @@ def geometric_median(colours: np.ndarray) -> np.ndarray:
     return at.astype(int)
 
 
-def colour_statistics(colours: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sample deviation of the distance to the mean colour; the majority colour or else the geometric median."""
+def distance_deviation(colours: np.ndarray) -> float:
+    """Sample deviation of the distance to the mean colour, 0 for a single one."""
     d = np.sqrt(((colours - colours.mean(axis=0)) ** 2).sum(axis=1))
-    std = float(d.std(ddof=1)) if len(d) > 1 else 0.0
+    return float(d.std(ddof=1)) if len(d) > 1 else 0.0
+
+
+def central_colour(colours: np.ndarray) -> np.ndarray:
+    """The majority colour or else the geometric median."""
     kinds, n = np.unique(colours, axis=0, return_counts=True)
-    return std, kinds[n.argmax()] if n.max() * 2 > len(colours) else geometric_median(colours)
+    return kinds[n.argmax()] if n.max() * 2 > len(colours) else geometric_median(colours)
+
+
+def colour_statistics(colours: np.ndarray) -> tuple[float, np.ndarray]:
+    return distance_deviation(colours), central_colour(colours)
 
 
 def top_colours(counts: np.ndarray, edges: np.ndarray) -> list[float]:
@@ -454,18 +462,19 @@ class Fit:
     rescued: bool
 
 
-def border_fit(image: np.ndarray, mask: np.ndarray, off_white: int = 240) -> tuple[float, tuple[int, int, int]] | None:
-    """Deviation and median along a mask's border (near white snaps to white); None without a border."""
+def border_deviation(image: np.ndarray, mask: np.ndarray) -> float | None:
+    """Deviation along a mask's border, None without a border."""
     edge = border_pixels(mask)
     if not edge.any():
         return None
-    if image.ndim == 3:
-        std, centre = colour_statistics(image[edge].astype(float))
-        centre = tuple(int(c) for c in centre)
-    else:
-        values = image[edge]
-        std, centre = float(values.std()), (int(np.median(values)),) * 3
-    return std, (255,) * 3 if min(centre) > off_white else centre
+    return distance_deviation(image[edge].astype(float)) if image.ndim == 3 else float(image[edge].std())
+
+
+def border_colour(image: np.ndarray, mask: np.ndarray, off_white: int = 240) -> tuple[int, int, int]:
+    """Median along a mask's border; what is near white snaps to white."""
+    values = image[border_pixels(mask)]
+    centre = tuple(int(c) for c in central_colour(values.astype(float))) if image.ndim == 3 else (int(np.median(values)),) * 3
+    return (255,) * 3 if min(centre) > off_white else centre
 
 
 def fit_region(image: np.ndarray, cut: np.ndarray, box_mask: np.ndarray, masking: Rect, reference: Rect, improvement: float = 0.1, max_std: float = 15.0, fast: bool = False, fallback: bool = True) -> Fit | None:
@@ -490,19 +499,18 @@ def fit_region(image: np.ndarray, cut: np.ndarray, box_mask: np.ndarray, masking
     candidates = box + grown if fast else grown + box
     taken = lowest = None
     for i, (mask, _) in enumerate(candidates):
-        found = border_fit(crop, mask)
-        if found is None:
+        std = border_deviation(crop, mask)
+        if std is None:
             return None
-        std = found[0]
         if taken is None or std <= taken[1] * (1 - improvement):
-            taken = (i, *found)
+            taken = (i, std)
         if lowest is None or std < lowest[1]:
-            lowest = (i, *found)
+            lowest = (i, std)
         if fast and std == 0:
             break
-    chosen = lowest if fallback and taken[1] > max_std and lowest[1] <= max_std else taken
-    mask, thickness = candidates[chosen[0]]
-    return Fit(mask if chosen[1] <= max_std else None, chosen[2], (reference[0], reference[1]), chosen[1], chosen[0], thickness, chosen[0] != taken[0])
+    chosen, std = lowest if fallback and taken[1] > max_std and lowest[1] <= max_std else taken
+    mask, thickness = candidates[chosen]
+    return Fit(mask if std <= max_std else None, border_colour(crop, mask), (reference[0], reference[1]), std, chosen, thickness, chosen != taken[0])
 
 
 # -- layers --------------------------------------------------------------------------
