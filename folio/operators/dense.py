@@ -368,6 +368,25 @@ SQL_PAGE_MASK = """SELECT vec_id AS page_id, CAST(i % 6 AS INTEGER) AS x, CAST(i
  CAST(trunc(least(greatest(CAST(embedding[(i // 6) * 8 + i % 6 + 1] AS FLOAT) * 255::FLOAT, 0::FLOAT), 255::FLOAT)) AS INTEGER) AS v FROM embeddings, generate_series(0, 29) AS g(i)"""
 
 
+# -- filters: the definitions, pixel by pixel ---------------------------------------------------
+
+
+def _blur_sql(source: str) -> str:
+    """Blur of radius 1 of a relation (page_id, x, y, v): seven taps, edges repeated, rows in single precision."""
+    return f"""taps AS (SELECT j, exp(-j * j / 2.0::DOUBLE) AS w FROM generate_series(-3, 3) AS g(j)), n AS (SELECT j, w / (SELECT sum(w) FROM taps) AS w FROM taps),
+across AS (SELECT p.page_id, p.x, p.y, CAST(sum(n.w * s.v) AS FLOAT) AS v FROM {source} p, n JOIN {source} s ON s.page_id = p.page_id AND s.y = p.y AND s.x = greatest(least(p.x + j, 23), 0) GROUP BY p.page_id, p.x, p.y)
+SELECT p.page_id, p.x, p.y, CAST(floor(sum(n.w * CAST(s.v AS DOUBLE)) + 0.5) AS INTEGER) AS v FROM across p, n JOIN across s ON s.page_id = p.page_id AND s.x = p.x AND s.y = greatest(least(p.y + j, 15), 0) GROUP BY p.page_id, p.x, p.y"""
+
+
+SQL_BLUR = with_views(f", {_blur_sql('pixels')}", "pixels")
+SQL_FADE = with_views(f""", {ROWS5}, grown AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM pixels, e5, generate_series(-5, 5) AS g(dx) WHERE v > 200 AND abs(dx) <= half),
+mask AS (SELECT p.page_id, p.x, p.y, CASE WHEN g.x IS NULL THEN 0 ELSE 255 END AS v FROM pixels p LEFT JOIN grown g ON g.page_id = p.page_id AND g.x = p.x AND g.y = p.y), {_blur_sql('mask')}""", "pixels")
+SQL_BILINEAR = with_views(""", a AS (SELECT nx, greatest(least((nx + 0.5::DOUBLE) * 24 / 10 - 0.5, 23), 0) AS sx FROM generate_series(0, 9) AS g(nx)), b AS (SELECT ny, greatest(least((ny + 0.5::DOUBLE) * 16 / 7 - 0.5, 15), 0) AS sy FROM generate_series(0, 6) AS g(ny)),
+c AS (SELECT nx, ny, CAST(floor(sx) AS INTEGER) AS x0, CAST(least(floor(sx) + 1, 23) AS INTEGER) AS x1, sx - floor(sx) AS fx, CAST(floor(sy) AS INTEGER) AS y0, CAST(least(floor(sy) + 1, 15) AS INTEGER) AS y1, sy - floor(sy) AS fy FROM a, b)
+SELECT p.page_id, CAST(nx AS INTEGER) AS x, CAST(ny AS INTEGER) AS y, CAST(floor((p.v * (1 - fx) + q.v * fx) * (1 - fy) + (r.v * (1 - fx) + s.v * fx) * fy + 0.5) AS INTEGER) AS v
+FROM c JOIN pixels p ON p.x = x0 AND p.y = y0 JOIN pixels q ON q.page_id = p.page_id AND q.x = x1 AND q.y = y0 JOIN pixels r ON r.page_id = p.page_id AND r.x = x0 AND r.y = y1 JOIN pixels s ON s.page_id = p.page_id AND s.x = x1 AND s.y = y1""", "pixels")
+
+
 # -- decoding and colours --------------------------------------------------------------------
 
 
@@ -403,4 +422,5 @@ QUERIES = {
 }
 ORACLES = {
     "dilate": SQL_DILATE, "growth_candidates": _growth_sql(), "components": SQL_COMPONENTS, "label_order": SQL_LABELS, "brush_regions": SQL_BRUSH, "undetected_blocks": SQL_UNDETECTED, "mask_coverage": SQL_COVERAGE, "page_mask": SQL_PAGE_MASK,
+    "gaussian_blur": SQL_BLUR, "fade_mask": SQL_FADE, "resize_bilinear": SQL_BILINEAR,
 }
