@@ -225,20 +225,22 @@ def _nearest(vectors: DataFrame, queries: Column | DataFrame, k: int, id_col: st
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            leaf, at = np.zeros(len(batch), np.int32), [None] * len(batch)
-            own = np.nonzero((batch["dim"] == dim).to_numpy())[0]
+            rows = batch.num_rows
+            leaf, at = np.zeros(rows, np.int32), [None] * rows
+            own = np.nonzero(batch.column("dim").to_numpy(zero_copy_only=False) == dim)[0]
             if shared.value is not None and len(own):
-                where, leaf[own] = shared.value.place(np.array(batch["v"].iloc[own].tolist()))
-                for i, row in zip(own.tolist(), where, strict=True):
+                where, leaf[own] = shared.value.place(_matrix(batch.take(pa.array(own)), "v", dim))
+                for i, row in zip(own.tolist(), where.tolist(), strict=True):
                     at[i] = row
-            yield pd.DataFrame({**{c: batch[c] for c in ("row", "id", "asked", "dim", "v")}, "leaf": leaf, "at": at})
+            names = ["row", "id", "asked", "dim", "v"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(leaf), pa.array(at, pa.list_(pa.float64()))], names=[*names, "leaf", "at"])
 
     kinds = "row long, id long, asked boolean, dim int, v array<double>, leaf int, at array<double>"
-    placed = scratch.saved(data.select("row", "id", "asked", "dim", "v").mapInPandas(tidied(place), kinds), "placed")
-    goes = placed.filter("asked") if not foreign else asked.select("row", "id", "asked", "dim", "v").mapInPandas(tidied(place), kinds)
+    placed = scratch.saved(data.select("row", "id", "asked", "dim", "v").mapInArrow(tidied(place), kinds), "placed")
+    goes = placed.filter("asked") if not foreign else asked.select("row", "id", "asked", "dim", "v").mapInArrow(tidied(place), kinds)
     # blocks of each leaf of the main dimension, at most LEAVES rows; the rest is dealt by its number
     sizes = placed.filter(F.col("dim") == dim).groupBy("leaf").agg(F.count("*").alias("n"), *(f(F.get("at", i)).alias(f"{name}{i}") for i in range(min(DIRECTIONS, dim)) for name, f in (("lo", F.min), ("hi", F.max)))).collect()
     subs = [(int(dim), r.leaf, max(1, math.ceil(r.n / block_rows))) for r in sizes]
@@ -258,16 +260,19 @@ def _nearest(vectors: DataFrame, queries: Column | DataFrame, k: int, id_col: st
     extents = spark.sparkContext.broadcast((np.array([r.leaf for r in bounds], np.int32), low, high))
 
     def route(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         numbers, low, high = extents.value
         for batch in batches:
             others = []
-            for at, home, within in zip(batch["at"], batch["leaf"], batch["within"], strict=True):
+            for at, home, within in zip(_matrix(batch, "at", low.shape[1]), batch.column("leaf").to_pylist(), batch.column("within").to_pylist(), strict=True):
                 gap = np.maximum(np.maximum(low - at, at - high), 0)
                 near = np.sqrt((gap * gap).sum(axis=1)) * (1 - 1e-9) <= within
                 others.append(numbers[near & (numbers != home)])
-            yield batch[["row", "id", "dim", "v", "within"]].assign(leaves=others)
+            names = ["row", "id", "dim", "v", "within"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(others, pa.list_(pa.int32()))], names=[*names, "leaves"])
 
     away = goes.filter(F.col("dim") == dim).join(reach, "row", "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
-    away = away.select("row", "id", "dim", "v", "leaf", "at", "within").mapInPandas(tidied(route), "row long, id long, dim int, v array<double>, within double, leaves array<int>")
+    away = away.select("row", "id", "dim", "v", "leaf", "at", "within").mapInArrow(tidied(route), "row long, id long, dim int, v array<double>, within double, leaves array<int>")
     away = everywhere(dealt(away.withColumn("leaf", F.explode("leaves"))))
     return _ranked(first.drop("rank").unionByName(_searched(blocks, away, k, True)), k)

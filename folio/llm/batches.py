@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 
 #: Bytes of an Arrow batch on its way to Python; texts differ too much in length to count rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 TRIM_S = 1.0
 
 

@@ -193,24 +193,23 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         raise ValueError(f"more than {max_languages} distinct languages in {lang_col}")
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        table = lambda sums: pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        table = lambda sums: pa.RecordBatch.from_pydict({"lang": list(sums), "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
         bundler, sums = Bundler(), {}
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
             for lo, hi in text_slices(texts, SLICE_CHARS):
-                langs = batch["lang"].to_numpy()[lo:hi]
                 vectors = unit(bundler.bundle(texts[lo:hi]))
-                for lang in set(langs):
-                    sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
+                for lang in set(langs[lo:hi]):
+                    sums[lang] = sums.get(lang, 0) + vectors[langs[lo:hi] == lang].sum(axis=0, dtype=np.float64)
                 if len(sums) > 256:
                     yield table(sums)
                     sums = {}
         if sums:
             yield table(sums)
 
-    partial = rows.mapInPandas(tidied(run), "lang string, v array<double>")
+    partial = rows.mapInArrow(tidied(run), "lang string, v array<double>")
     total = partial.groupBy("lang").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
     sums = {r.lang: r.v.toArray() for r in total.collect()}
     return {lang: v / norm for lang, v in sorted(sums.items()) if (norm := float(np.linalg.norm(v))) > 0}

@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,23 +61,23 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     factors = np.array([3, 5, 7, 11, 13], np.uint64)
 
     def run(batches):
+        import pyarrow as pa
+
+        def lists(rows: np.ndarray, width: int, none: np.ndarray):
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(rows.ravel()), mask=pa.array(none))
+
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["id"].to_numpy()
+            texts = batch.column("text").to_pylist()
             for lo, hi in text_slices(texts, SLICE_CHARS):
                 words = [normalised(t) for t in texts[lo:hi]]
                 sig = signatures(*multisets(*shingles(words)), hi - lo, BANDS * ROWS)
                 bands = mix((sig.reshape(-1, BANDS, ROWS) * factors).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                sketch = sketches(sig)
-                none = [not w for w in words]
-                yield pd.DataFrame({
-                    "id": ids[lo:hi],
-                    "key": [None if no else hashlib.blake2b(w, digest_size=16).digest() for w, no in zip(words, none, strict=True)],
-                    "bands": [None if no else b for b, no in zip(bands, none, strict=True)],
-                    "sketch": [None if no else b for b, no in zip(sketch, none, strict=True)],
-                })
+                none = np.array([not w for w in words], bool)
+                keys = pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), keys, lists(bands, BANDS, none), lists(sketches(sig), SKETCH_WORDS, none)], names=["id", "key", "bands", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    return rows.mapInPandas(tidied(run), f"id {kind}, key binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(tidied(run), f"id {kind}, key binary, bands array<long>, sketch array<long>")
 
 
 def alike(a: str, b: str, gap: int | None) -> Column:
@@ -112,11 +111,13 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thre
     rows = firsts.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
+        import pyarrow as pa
+
         group, leaders, seen = None, [], set()
         for batch in batches:
-            texts = batch["text"].tolist()
-            first, others = batch["b"].isna().tolist(), batch["b"].to_numpy()
-            groups = list(zip(batch["a"].tolist(), batch["part"].tolist(), strict=True))
+            texts, second = batch.column("text").to_pylist(), batch.column("b")
+            first = second.is_null().to_pylist()
+            groups = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
             keep = []
             for lo, hi in text_slices(texts, SLICE_CHARS):
                 words = [normalised(t) for t in texts[lo:hi]]
@@ -135,9 +136,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thre
                     elif any(similarity(x, own) >= threshold for x in leaders):
                         keep.append(lo + k)
             if keep:
-                yield pd.DataFrame({"a": [groups[k][0] for k in keep], "b": others[keep]})
+                rows = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], names=["a", "b"])
 
-    edges = scratch.saved(rows.mapInPandas(tidied(run), f"a {kind}, b {kind}").distinct(), "edges")
+    edges = scratch.saved(rows.mapInArrow(tidied(run), f"a {kind}, b {kind}").distinct(), "edges")
     scratch.drop(texts, dealt)
     return edges
 
@@ -153,18 +155,18 @@ def _mixed(shared: DataFrame, found: DataFrame | None, scratch: Scratch) -> Data
     return out
 
 
-def _leader_pairs(members: DataFrame, turn: int, gap: int | None) -> DataFrame:
-    """(a, b): each bucket's leader of this turn with the members of other components.
-
-    A bucket's n members are dealt out in parts, of which each gets the leader.
-    """
+def _with_least(members: DataFrame, least: Column) -> DataFrame:
+    """members with l, the least of their bucket; a bucket's n members are dealt out in parts, of which each gets it."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
     members = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    least = F.min(F.struct(order.alias("order"), "rep", "sketch", "component")).alias("l")
-    leaders = members.groupBy("band", "part", "n").agg(least).groupBy("band", "n").agg(F.min("l").alias("l"))
-    leaders = leaders.select("band", "l", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    joined = members.join(leaders, ["band", "part"]).filter(F.col("component") != F.col("l.component"))
+    firsts = members.groupBy("band", "part", "n").agg(F.min(least).alias("l")).groupBy("band", "n").agg(F.min("l").alias("l"))
+    return members.join(firsts.select("band", "l", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["band", "part"])
+
+
+def _leader_pairs(members: DataFrame, turn: int, gap: int | None) -> DataFrame:
+    """(a, b): each bucket's leader of this turn with the members of other components."""
+    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    joined = _with_least(members, F.struct(order.alias("order"), "rep", "sketch", "component")).filter(F.col("component") != F.col("l.component"))
     joined = joined.select("rep", "sketch", F.col("l.rep").alias("leader"), F.col("l.sketch").alias("leader_sketch")).filter(alike("sketch", "leader_sketch", gap))
     return joined.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
 
@@ -234,8 +236,7 @@ def _group_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
     are connected already.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    lows = members.groupBy("band").agg(F.min("rep").alias("a"))
-    groups = connected_components(members.select("band", F.col("rep").alias("b")).join(lows, "band").select("a", "b"))
+    groups = connected_components(_with_least(members, F.col("rep")).select(F.col("l").alias("a"), F.col("rep").alias("b")))
     groups = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
     texts = _texts(docs, groups.select("id"), id_col, text_col, scratch)
     bytes_ = texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"))
@@ -256,14 +257,13 @@ def _group_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
     sides = met.select("g", "i", "j", F.col("i").alias("block")).union(met.filter("i < j").select("g", "i", "j", F.col("j").alias("block")))
     placed = dealt.select("g", "block", "id").join(sides, ["g", "block"]).select("g", "i", "j", "block", "id")
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        left = np.nonzero((rows["block"] == rows["i"]).to_numpy())[0]
-        right = np.nonzero((rows["block"] == rows["j"]).to_numpy())[0]
-        ids = rows["id"].to_numpy()
-        found = block_links(rows["text"].tolist(), left, right, threshold)
-        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]})
+    def link(rows):
+        block, i, j = (rows.column(c).to_numpy() for c in ("block", "i", "j"))
+        found = block_links(rows.column("text").to_pylist(), np.nonzero(block == i)[0], np.nonzero(block == j)[0], threshold)
+        ids = rows.column("id")
+        return rows.from_arrays([ids.take([x for x, _ in found]), ids.take([y for _, y in found])], names=["a", "b"]) if found else rows.select(["id", "id"]).slice(0, 0).rename_columns(["a", "b"])
 
-    return scratch.saved(placed.join(texts, "id").groupBy("g", "i", "j").applyInPandas(link, f"a {kind}, b {kind}"), "edges")
+    return scratch.saved(placed.join(texts, "id").groupBy("g", "i", "j").applyInArrow(link, f"a {kind}, b {kind}"), "edges")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sketch_gap: int | None = SKETCH_GAP) -> DataFrame:

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +31,9 @@ from folio.llm.merges import LONG_WORD, PAIR_BITS, IntTable, MergeTables, relax,
 
 MARK = "▁"
 #: Characters of text cut into units at once, of new units indexed at once, and of one very long unit.
-SLICE_CHARS, INDEX_CHARS, WINDOW_CHARS = 1_000_000, 250_000, 100_000
+SLICE_CHARS, INDEX_CHARS, WINDOW_CHARS = 500_000, 200_000, 100_000
 #: Memory for remembered units, and what one takes besides its characters.
-MEMO_BYTES, UNIT_BYTES = 48_000_000, 200
+MEMO_BYTES, UNIT_BYTES = 32_000_000, 200
 
 
 @dataclass
@@ -425,17 +424,19 @@ def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(compile_pieces(path))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            rows = []
-            texts = [t or "" for t in batch["text"]]
+            counts, digests, same = [], [], []
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in text_slices(texts, SLICE_CHARS):
                 for text, ids in zip(texts[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoder.decode(ids) == text))
-            out = pd.DataFrame(rows, columns=["n_pieces", "ids_sha256", "round_trip"])
-            out.insert(0, "id", batch["id"].to_numpy())
-            yield out
+                    counts.append(len(ids) // 4)
+                    digests.append(hashlib.sha256(ids).hexdigest())
+                    same.append(decoder.decode(ids) == text)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["id", "n_pieces", "ids_sha256", "round_trip"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(tidied(run), f"id {kind}, n_pieces long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {kind}, n_pieces long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)

@@ -28,7 +28,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -312,14 +311,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(compile_tokenizer(path))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         counter = Counter(shared.value)
         for batch in batches:
-            tokens = [n for some in slices(batch["text"]) for n in counter.count(some)]
-            batch = batch[["id", "n_bytes"]].copy()
-            batch["n_tokens"] = np.array(tokens, np.int64)
-            yield batch
+            tokens = [n for some in slices(batch.column("text").to_pylist()) for n in counter.count(some)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(tidied(run), f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidied(run), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
