@@ -29,14 +29,18 @@ FORMULAS: dict[str, Callable[[Column, Column, Column], Column]] = {
 
 
 def rasters(keys: DataFrame, w: int, h: int, value: str) -> DataFrame:
-    """(page_id, w, h, data) with the byte of a formula at every place."""
+    """keys and (w, h, data): the byte of a formula at every place."""
     byte = lambda i: F.lpad(F.hex(FORMULAS[value](i % w, F.floor(i / w), F.col("page_id"))), 2, "0")
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), byte), ""))
-    return keys.select("page_id", F.lit(w).alias("w"), F.lit(h).alias("h"), data.alias("data"))
+    return keys.select("*", F.lit(w).alias("w"), F.lit(h).alias("h"), data.alias("data"))
 
 
-def page_rasters(spark, sf, w: int = 24, h: int = 16, value: str = "grey") -> DataFrame:
-    return rasters(table(spark, sf, "part").select(F.col("p_partkey").alias("page_id")), w, h, value)
+def page_rasters(spark, sf, w: int = 24, h: int = 16, value: str = "grey", boxes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """The pages of the parts, with their boxes; numbers and boxes are joined and dealt out before the rasters are made, so no raster is shuffled."""
+    keys = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"))
+    if boxes is not None:
+        keys = keys.join(boxes, "page_id", how)
+    return rasters(keys.repartition(2 * spark.sparkContext.defaultParallelism, "page_id"), w, h, value)
 
 
 def synthetic(spark, kind: str, w: int, h: int, seed: int = 0, values: tuple[int, int] = (0, 255)) -> DataFrame:
@@ -216,7 +220,7 @@ def prediction(image: np.ndarray) -> np.ndarray:
 
 
 def _coarse(spark, sf):
-    return page_rasters(spark, sf, 48, 32, "coarse").join(boxes_of(small_boxes(spark, sf)), "page_id", "left")
+    return page_rasters(spark, sf, 48, 32, "coarse", boxes_of(small_boxes(spark, sf)), "left")
 
 
 def q_undetected(spark, sf):
@@ -253,7 +257,7 @@ def q_refine_undetected(spark, sf):
 
 def q_refine(spark, sf):
     """The refined mask of each page's boxes."""
-    pages = page_rasters(spark, sf).join(boxes_of(small_boxes(spark, sf)), "page_id", "left")
+    pages = page_rasters(spark, sf, boxes=boxes_of(small_boxes(spark, sf)), how="left")
     work = lambda image, boxes: pixel_rows(k.refine(colours(image), ((image.astype(int) * 5) % 256).astype(np.uint8), rect_list(boxes)))
     return over_pages(pages, PIXELS, work, "boxes")
 
@@ -279,7 +283,7 @@ def q_mask_coverage(spark, sf):
         residue = inside(np.where(image > 240, image - 240, 0) > 0) > 0
         return {"idx": b[:, 0].astype(np.int32), "coverage": share, "kept": share >= 0.1, "residual": (b[:, 5] > 600) & residue}
 
-    return over_pages(page_rasters(spark, sf).join(boxes, "page_id"), "page_id long, idx int, coverage double, kept boolean, residual boolean", work, "boxes")
+    return over_pages(page_rasters(spark, sf, boxes=boxes), "page_id long, idx int, coverage double, kept boolean, residual boolean", work, "boxes")
 
 
 SQL_COVERAGE = with_views(_SMALL + """, masked AS (SELECT page_id, x, y, v, CASE WHEN v > 240 THEN v - 240 ELSE 0 END AS alpha FROM pixels)
@@ -303,7 +307,7 @@ def _fits(image: np.ndarray, boxes, colour: bool) -> list[tuple[int, k.Rect, k.F
 
 
 def _boxed_pages(spark, sf):
-    return page_rasters(spark, sf).join(boxes_of(small_boxes(spark, sf)), "page_id")
+    return page_rasters(spark, sf, boxes=boxes_of(small_boxes(spark, sf)))
 
 
 def q_fit_region(spark, sf):
