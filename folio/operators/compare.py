@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as g
 from folio.functions import text as t
-from folio.operators.raster import otsu
+from folio.operators.stacks import otsu_thresholds, over_stacks, page_rasters
 from folio.sources.bridges import blocks, files, pixels, table, with_views
 
 #: Mechanisms by which a box may stay unmatched, and the side each may be cited on.
@@ -159,14 +160,18 @@ SELECT page_id, round(avg(g) / 3, 6) AS mean_gap, CAST(max(g) AS INTEGER) AS max
 
 def q_best_channel(spark, sf):
     """The channel whose Otsu mask, or its negative, is nearest to the prediction; blue before green before red among equals."""
-    p = pixels(spark, sf).withColumn("want", F.expr("if(v * 5 % 256 > 127, 255, 0)"))
-    channels = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("channel"), F.expr(e).cast("int").alias("c")) for i, (n, e) in enumerate((("b", "v * 7 % 256"), ("g", "v * 3 % 256"), ("r", "v"))))))
-    each = p.select("page_id", "want", channels.alias("s")).select("page_id", "want", "s.*")
-    thresholds = otsu(each.select(F.struct("page_id", "channel").alias("page_id"), F.col("c").alias("v"))).select("page_id.*", "threshold")
-    mask = F.when(F.col("c") > F.col("threshold"), 255).otherwise(0)
-    sums = each.join(thresholds, ["page_id", "channel"]).groupBy("page_id", "ord", "channel").agg(F.sum(mask.bitwiseXOR(F.col("want"))).alias("pos"), F.sum((F.lit(255) - mask).bitwiseXOR(F.col("want"))).alias("neg"))
-    best = F.min(F.struct(F.least("pos", "neg").alias("xor"), "ord", "channel", (F.col("neg") < F.col("pos")).alias("inverted"))).alias("m")
-    return sums.groupBy("page_id").agg(best).select("page_id", "m.channel", "m.xor", "m.inverted")
+    names = np.array(["b", "g", "r"])
+
+    def work(stack: np.ndarray) -> dict:
+        want = stack * np.uint8(5) > 127  # bytes wrap, which is the remainder
+        size = want[0].size
+        off = [((c > otsu_thresholds(c)[:, None, None]) != want).sum(axis=(1, 2)) for c in (stack * np.uint8(7), stack * np.uint8(3), stack)]
+        xor = np.stack([np.minimum(d, size - d) * 255 for d in off], axis=1)
+        best = xor.argmin(axis=1)
+        pos = np.stack(off, axis=1)[np.arange(len(best)), best]
+        return {"channel": names[best].tolist(), "xor": xor.min(axis=1), "inverted": size - pos < pos}
+
+    return over_stacks(page_rasters(spark, sf), "page_id long, channel string, xor long, inverted boolean", work)
 
 
 SQL_CHANNEL = with_views(""", e AS (SELECT page_id, CASE WHEN v * 5 % 256 > 127 THEN 255 ELSE 0 END AS want, 0 AS ord, 'b' AS channel, v * 7 % 256 AS c FROM pixels
