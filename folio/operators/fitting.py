@@ -16,7 +16,7 @@ from folio.operators.raster import kernel_rows
 
 @dataclass
 class Fits:
-    """The fitted regions, in order: their number among those given, and what ``kernels.Fit`` holds (``on`` marks a mask's pixels on its page, none where it fails)."""
+    """The fitted regions, in order: their number among those given, and what ``kernels.Fit`` holds (thickness -1 for the box; ``painted`` the flat places of fitted masks, ``painted_by`` their regions)."""
 
     region: np.ndarray
     std: np.ndarray
@@ -33,7 +33,7 @@ class Fits:
 def grown(mask: np.ndarray, rows: list[tuple[int, int]]) -> np.ndarray:
     """Dilation of packed masks (h, w, bytes) by an element given as (dy, half width) rows."""
     h, w = mask.shape[:2]
-    wide, half, now = {0: mask}, 0, mask
+    wide, now = {0: mask}, mask
     for half in range(1, max(half for _, half in rows) + 1):
         now = now.copy()
         if half < w:
@@ -82,47 +82,56 @@ def _deviation(crop: np.ndarray, edge: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 1, np.sqrt((gap * gap).sum(axis=0) / np.maximum(n - 1, 1)), 0.0)
 
 
-def geometric_medians(colours: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """As ``kernels.geometric_median`` of each column of (channels, pixels, sets), over the marked pixels; (channels, sets)."""
-    n = edge.sum(axis=0)
-    at = (colours * edge).sum(axis=1) / n
-    live = np.arange(edge.shape[1])
-    for _ in range(k.MEDIAN_ROUNDS):
-        if not len(live):
-            break
-        d = np.sqrt(((colours - at[:, None, live]) ** 2).sum(axis=0))
-        near = edge & (d > 0)
-        weight = np.where(near, 1 / np.where(near, d, 1), 0.0)
-        mass = weight.sum(axis=0)
-        some = mass > 0
-        new = np.where(some, (colours * weight).sum(axis=1) / np.where(some, mass, 1), at[:, live])
-        move = np.sqrt(((new - at[:, live]) ** 2).sum(axis=0))
-        at[:, live] = new
-        more = some & (move >= k.MEDIAN_EPS)
-        if not more.all():
-            live, colours, edge = live[more], colours[:, :, more], edge[:, more]
-    return at.astype(np.int64)
-
-
-def central_colours(crop: np.ndarray, edge: np.ndarray, off_white: int = 240) -> np.ndarray:
-    """As ``kernels.border_colour``: (3, regions)."""
+def geometric_medians(colours: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """As ``kernels.geometric_median`` of ragged sets of colours (samples, 3), one set after another: (sets, 3).
+
+    Sets of one size go together; sums are taken in the order in which the one
+    function takes them, as results are truncated.
+    """
+    out = np.zeros((len(count), 3), np.int64)
+    starts = np.cumsum(count) - count
+    for m in np.unique(count):
+        live = np.nonzero(count == m)[0]
+        c = np.ascontiguousarray(colours[starts[live] + np.arange(m)[:, None]].astype(np.float64).transpose(2, 0, 1))  # (3, m, sets)
+        at = c.sum(axis=1) / m
+        for _ in range(k.MEDIAN_ROUNDS):
+            if len(live) == 1:  # numpy sums a lone column in another order
+                break
+            gap = c - at[:, None]
+            gap *= gap
+            d = np.sqrt(gap[0] + gap[1] + gap[2])
+            hit = (d == 0).any(axis=0)
+            if hit.any():  # a sample is left out there
+                for i in np.nonzero(hit)[0]:
+                    out[live[i]] = k.geometric_median(np.ascontiguousarray(c[:, :, i].T))
+                live, c, at, d = live[~hit], np.ascontiguousarray(c[:, :, ~hit]), at[:, ~hit], np.ascontiguousarray(d[:, ~hit])
+            new = (c / d).sum(axis=1) / np.ascontiguousarray((1 / d).T).sum(axis=1)
+            done = np.sqrt(((new - at) ** 2).sum(axis=0)) < k.MEDIAN_EPS
+            at = new
+            if done.any():
+                out[live[done]] = at[:, done].T.astype(np.int64)
+                live, c, at = live[~done], np.ascontiguousarray(c[:, :, ~done]), at[:, ~done]  # else sums go along samples in another order
+            if not len(live):
+                break
+        if len(live) == 1:
+            at = k.geometric_median(np.ascontiguousarray(c[:, :, 0].T))[:, None]
+        out[live] = at.T.astype(np.int64)
+    return out
+
+
+def central_colours(crop: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The median of grey values, or the majority colour, along each border: (3, regions), and where there is no majority."""
     n = edge.sum(axis=0)
+    at = np.arange(len(n))
     if len(crop) == 1:
         values = np.sort(np.where(edge, crop[0], 1 << 20), axis=0)
-        at = np.arange(len(n))
-        centre = np.repeat(((values[(n - 1) // 2, at] + values[n // 2, at]) // 2)[None], 3, axis=0)
-    else:
-        code = np.where(edge, (crop[0] << 16) + (crop[1] << 8) + crop[2], 1 << 24)
-        middle = np.sort(code, axis=0)[n // 2, np.arange(len(n))]  # a majority holds the middle
-        major = ((code == middle) & edge).sum(axis=0) * 2 > n
-        centre = np.stack([middle >> 16, middle >> 8 & 255, middle & 255])
-        rest = np.nonzero(~major)[0]
-        if len(rest):
-            centre[:, rest] = geometric_medians(crop[:, :, rest].astype(np.float64), edge[:, rest])
-    return np.where(centre.min(axis=0) > off_white, 255, centre)
-
-
-def fit_regions(image: np.ndarray, cut: np.ndarray, box_mask: np.ndarray, at: np.ndarray, rects: np.ndarray, margin: int, improvement: float = 0.1, max_std: float = 15.0, colour_failed: bool = True) -> Fits:
+        return np.repeat(((values[(n - 1) // 2, at] + values[n // 2, at]) // 2)[None], 3, axis=0), n < 0
+    code = np.where(edge, (crop[0] << 16) + (crop[1] << 8) + crop[2], 1 << 24)
+    middle = np.sort(code, axis=0)[n // 2, at]  # a majority holds the middle
+    return np.stack([middle >> 16, middle >> 8 & 255, middle & 255]), ((code == middle) & edge).sum(axis=0) * 2 <= n
+
+
+def fit_regions(image: np.ndarray, cut: np.ndarray, box_mask: np.ndarray, at: np.ndarray, rects: np.ndarray, margin: int, improvement: float = 0.1, max_std: float = 15.0, colour_failed: bool = True, off_white: int = 240) -> Fits:
     """Regions ``rects`` (n, 4) of the pages ``at`` of a stack (pages, h, w, channels), each with a margin that ends at the page; fallback on, not fast.
 
     Left out are regions off the page, without a mask, or with a candidate that has no border.
@@ -139,7 +148,12 @@ def fit_regions(image: np.ndarray, cut: np.ndarray, box_mask: np.ndarray, at: np
     if not made:
         none = np.zeros(0, np.int64)
         return Fits(none, none + 0.0, none, none, none > 0, none > 0, none.reshape(3, 0), none, none, none)
-    joined = [np.concatenate([m[i] for m in made], axis=-1) for i in range(10)]
+    joined = [np.concatenate([m[i] for m in made], axis=-1) for i in range(13)]
+    colour, (of, count, samples) = joined[6], joined[10:]
+    if len(of):
+        by = np.argsort(joined[0])
+        colour[:, by[np.searchsorted(joined[0], of, sorter=by)]] = geometric_medians(samples.T, count).T
+    joined[6] = np.where(colour.min(axis=0) > off_white, 255, colour)
     order = np.argsort(joined[0])
     pixels = np.lexsort((joined[8], joined[9]))
     return Fits(*(j[..., order] for j in joined[:8]), joined[8][pixels], joined[9][pixels])
@@ -182,9 +196,12 @@ def _fit_group(image, cut, box_mask, at, rects, left, top, group, size, improvem
     colour = np.zeros((3, n), np.int64)
     coloured = np.nonzero(bordered & (fits | colour_failed))[0]
     if len(coloured):
-        colour[:, coloured] = central_colours(crop[:, :, coloured], edge[:, coloured])
+        colour[:, coloured], none = central_colours(crop[:, :, coloured], edge[:, coloured])
+        coloured = coloured[none]
+    of, sample = np.nonzero(edge[:, coloured].T)
+    samples = crop[:, sample, coloured[of]] if len(crop) == 3 else np.zeros((3, 0), np.int64)
     place, by = np.nonzero(mask & (fits & bordered))
     on = (page[by] * cut.shape[1] + ys.reshape(h, n)[place // w, by]) * cut.shape[2] + xs.reshape(w, n)[place % w, by]
     thickness = np.where(chosen == len(candidates) - 1, -1, 4 + 2 * chosen)
     keep = bordered
-    return group[keep], std[keep], chosen[keep], thickness[keep], (chosen != taken)[keep], fits[keep], colour[:, keep], mask.sum(axis=0)[keep], on, group[by]
+    return group[keep], std[keep], chosen[keep], thickness[keep], (chosen != taken)[keep], fits[keep], colour[:, keep], mask.sum(axis=0)[keep], on, group[by], group[coloured], edge[:, coloured].sum(axis=0), samples

@@ -102,11 +102,11 @@ def fitted(colour, seed=3, pages=120):
     x1, y1 = rng.integers(0, 20, len(at)), rng.integers(0, 14, len(at))
     rects = np.stack([x1, y1, x1 + rng.integers(0, 9, len(at)), y1 + rng.integers(1, 8, len(at))], axis=1)
     inside = stacks.under_boxes(stack.shape, at, *rects.T)
-    many = fitting.fit_regions(image, cut, inside, at, rects, 3, max_std=30.0)
+    many = fitting.fit_regions(image, cut, inside, at, rects, 3, 0.7, 30.0)
     single = []
     for page, rect in zip(at, rects.tolist(), strict=True):
         around = (max(rect[0] - 3, 0), max(rect[1] - 3, 0), min(rect[2] + 3, 17), min(rect[3] + 3, 13))
-        single.append(k.fit_region(image[page] if colour else stack[page], cut[page], inside[page], tuple(rect), around, max_std=30.0))
+        single.append(k.fit_region(image[page] if colour else stack[page], cut[page], inside[page], tuple(rect), around, 0.7, 30.0))
     return stack, single, many
 
 
@@ -151,3 +151,11 @@ def test_many_windows_are_refined_as_one():
         assert (got[page] == k.refine(image[page], prediction[page], [tuple(r) for r in rects[at == page].tolist()])).all()
     with pytest.raises(ValueError, match="empty window"):
         refining.refine(image, prediction, at[:1], np.array([[25, 21, 26, 22]]))
+
+
+def test_geometric_medians_keep_the_order_of_sums():
+    rng = np.random.default_rng(7)
+    count = rng.integers(1, 60, 300)
+    colours = rng.integers(0, 256, (int(count.sum()), 3)) // np.repeat(rng.integers(1, 90, 300), count)[:, None]
+    want = [k.geometric_median(c.astype(float)).tolist() for c in np.split(colours, np.cumsum(count)[:-1])]
+    assert fitting.geometric_medians(colours, count).tolist() == want
